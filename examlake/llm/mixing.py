@@ -91,7 +91,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
     # slots are made in runs, so that a large source is made by many tasks
     run = 1 << 14
-    runs = goal.filter("slots > 0").select("source_key", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / run))).alias("run")).repartition("source_key", "run")
+    total = goal.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    runs = goal.filter("slots > 0").select("source_key", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / run))).alias("run")).repartition(max(1, -(-total // (4 * run))), "source_key", "run")
     slots = runs.select("source_key", "blocks", "shards", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("slots")) - 1)).alias("slot"))
     key = F.xxhash64(F.lit(seed), F.col("source_key"))
     slots = slots.select("source_key", F.pmod(F.xxhash64(key, "slot", F.lit(0)), F.col("shards")).alias("shard"), "slot", F.floor(F.col("slot") / F.col("blocks")).alias("epoch"), permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
@@ -101,6 +102,6 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def taken(texts: DataFrame, slots: DataFrame, segments: DataFrame) -> DataFrame:
     """``texts`` with taken, the words that the mix takes of each, repeats counted."""
     often = slots.groupBy("source_key", "block").agg(F.count("*").alias("times"))
-    by_row = segments.join(often, ["source_key", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("all"))
+    by_row = segments.join(often.hint("shuffle_hash"), ["source_key", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("all"))
     same = texts.groupBy("row").agg(F.count("*").alias("alike")).join(by_row, "row").select("row", F.floor(F.col("all") / F.col("alike")).cast("long").alias("taken"))
     return texts.join(same, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))

@@ -5,10 +5,12 @@
 2. Two sets of n and m shingles link when they share c(n, m) = ceil(t (n + m) / (1 + t)) of them. Sets of up to
    ``boundary`` shingles emit all their subsets of each size c that some partner can ask for: two sets link exactly
    if they share a subset of size c(n, m). In each list the set of the smallest size links with all that link at all.
-3. Larger sets stand in inverted lists of their prefix, the n - ceil(t n) + 1 shingles that come first in one order
-   (shingles that the sketch finds frequent come last). Sets that share no list cannot link.
-   Sets joined by lists form a cluster; clusters are cut in blocks by size and hash, and each pair of blocks whose
-   sizes fit is one task that scans the inverted lists of its shingles and counts overlaps exactly.
+3. Larger sets stand in inverted lists of their prefix, the n - ceil(t n) + l(n) shingles that come first in one order
+   (shingles that the sketch finds frequent come last), where l(n) = 1 + n / 16. Sets that link share l of the smaller
+   one's lists at least, so they share l / 2 short lists (up to ``SHORT`` sets) or l / 2 long ones. Short lists give their
+   pairs, which are counted; a long list joins the sets in it that stand in l / 2 long lists at all, by runs of sizes.
+   Sets joined in one of these ways form a cluster; clusters are cut in blocks by size and hash, and each pair of blocks
+   whose sizes fit is one task that scans the inverted lists of its shingles and counts overlaps exactly.
 4. The boundary is where rows enumerated and rows scanned cost least, from the counts of sets by size.
 5. Links (only as many as connect what a task found) become connected components.
 
@@ -25,7 +27,7 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlake.llm.graph import components
@@ -38,6 +40,8 @@ SLOTS, ROW = 1 << 20, 1 << 12
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_500_000
 #: Sizes from which on no subsets are enumerated, whatever they cost.
 LARGEST_SMALL = 16
+#: Sets of a list whose pairs are counted.
+SHORT = 16
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +113,11 @@ class Threshold:
         return -(-self.num * n // self.den)
 
     def prefix(self, n: int) -> int:
-        return n - self.least(n) + 1
+        return n - self.least(n) + 1 + n // 16
+
+    def half_shared(self, n: Column) -> Column:
+        """Half of the lists that a set of n shares with a partner no smaller, rounded up."""
+        return F.floor((F.floor(n / 16) + 2) / 2)
 
     def boundary(self, sizes: dict[int, int]) -> int:
         """The largest small size: enumerating costs a row for each subset, scanning one for each prefix shingle and the set itself."""
@@ -130,7 +138,7 @@ def _lists(docs: DataFrame, k: int, t: Threshold, small: int, frequent) -> DataF
             first = np.cumsum(n) - n
             place = np.arange(len(h)) - first[text]
             least = -(-t.num * n // t.den)
-            taken = (place < (n - least + 1)[text]) & (n >= t.least(small + 1))[text]
+            taken = (place < (n - least + 1 + n // 16)[text]) & (n >= t.least(small + 1))[text]
             size, key, of = [np.zeros(int(taken.sum()), np.int32)], [h[taken]], [text[taken]]
             for i in np.flatnonzero((n > 0) & (n <= small)):
                 own = [int(x) for x in mixed(h[first[i] : first[i] + n[i]])]
@@ -144,6 +152,27 @@ def _lists(docs: DataFrame, k: int, t: Threshold, small: int, frequent) -> DataF
     return docs.filter(F.col("id").isNotNull()).mapInArrow(scan, "size int, key long, id long, n long")
 
 
+def _short(lists: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of sets whose sizes fit and that share enough short lists. Each list has ``SHORT`` sets at most, so gathering it is bounded."""
+    members = lists.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("m"))
+    pairs = members.select("m", F.posexplode("m").alias("at", "x")).select("x", F.explode(F.slice("m", F.col("at") + 2, F.lit(SHORT))).alias("y"))
+    pairs = pairs.filter((t.den * F.col("x.n") >= t.num * F.col("y.n")) & (F.col("x.id") != F.col("y.id")))
+    counted = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n")).count()
+    return counted.filter(F.col("count") >= t.half_shared(F.col("n"))).select("a", "b")
+
+
+def _long(lists: DataFrame, t: Threshold) -> DataFrame:
+    """Edges that join the sets of a long list, in order of size up to the first that is too large for the one before."""
+    least = F.ceil(F.col("n") * t.num / t.den)
+    enough = lists.groupBy("id", "n").count().filter(F.col("count") >= t.half_shared(least)).select("id")
+    by_size = Window.partitionBy("key").orderBy("n", "id")
+    before = F.lag("n").over(by_size)
+    begins = F.coalesce(t.den * before < t.num * F.col("n"), F.lit(True))
+    runs = lists.join(enough, "id", "left_semi").withColumn("begins", begins)
+    hub = F.last(F.when(F.col("begins"), F.col("id")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    return runs.select(F.col("id").alias("a"), hub.alias("b")).filter(F.col("a") != F.col("b")).distinct()
+
+
 def _linked(t: Threshold, k: int):
     """The task of one pair of blocks: scan the inverted lists of its sets, count overlaps, return edges that connect all that link."""
 
@@ -217,14 +246,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = {r["n"]: r["k"] for r in classes.groupBy(F.least("n", F.lit(2 * LARGEST_SMALL)).alias("n")).agg(F.count("*").alias("k")).collect()}
     small = t.boundary(sizes)
 
-    lists = written(_lists(docs, k, t, small, spark.sparkContext.broadcast(_frequent(scan))))
-    by_key = Window.partitionBy("size", "key").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
-    hubs = lists.select("size", "n", "id", F.first("n").over(by_key).alias("hub_n"), F.first("id").over(by_key).alias("hub")).filter(F.col("hub") != F.col("id"))
-    hubs = written(hubs.select("size", "hub", "id", "hub_n", "n").distinct())
-    of_small = hubs.filter((F.col("size") > 0) & ((num + den) * F.col("size") >= num * (F.col("n") + F.col("hub_n")))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    key = Window.partitionBy("size", "key")
+    postings = _lists(docs, k, t, small, spark.sparkContext.broadcast(_frequent(scan)))
+    lists = written(postings.withColumn("sets", F.count("*").over(key)).filter("sets > 1"))
+    by_size = key.orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
+
+    subsets = lists.filter("size > 0").withColumn("hub_n", F.first("n").over(by_size)).withColumn("hub", F.first("id").over(by_size))
+    of_small = subsets.filter((F.col("hub") != F.col("id")) & ((num + den) * F.col("size") >= num * (F.col("n") + F.col("hub_n")))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
 
+    near = written(_short(lists.filter((F.col("size") == 0) & (F.col("sets") <= SHORT)), t).unionAll(_long(lists.filter((F.col("size") == 0) & (F.col("sets") > SHORT)), t)))
     reps = classes.select(F.col("rep").alias("id"), "n")
-    near = hubs.filter("size = 0").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     clusters = components(near).withColumnRenamed("component", "cluster").join(reps, "id")
     of_large = written(_verified(docs, clusters, t, k))
 
