@@ -1,0 +1,159 @@
+"""Broken maths glyphs read back: filters, mapping, checks and LaTeX by region."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from examlake.functions.text import half_up
+
+# Sizes in points and shares of the body size; offsets of structural glyphs in the private-use area.
+LEAST_SIZE, SCRIPT_SIZE, SCRIPT_SHIFT, LINE_STEP, CENTRED = 1.0, 0.8, 0.15, 0.75, 0.15
+PUA_START, BAR, HEAD, HOOK = 0xE000, 109, 110, 111
+REGION = ["doc_id", "no"]
+
+
+def region_glyphs(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """G1: glyphs (doc_id, page, char, font, size, x0, y0, x1, y1, baseline) by the box that holds their centre, invisible ones dropped; offset is null beyond the private-use area."""
+    g = glyphs.filter(F.col("size") >= LEAST_SIZE).select("doc_id", "page", "char", "font", "size", "baseline", *(F.col(c).alias(f"g_{c}") for c in ("x0", "y0", "x1", "y1")))
+    hit = boxes.join(g, ["doc_id", "page"]).filter(((F.col("g_x0") + F.col("g_x1")) / 2).between(F.col("x0"), F.col("x1")) & ((F.col("g_y0") + F.col("g_y1")) / 2).between(F.col("y0"), F.col("y1")))
+    return hit.select("doc_id", "page", "no", "char", "font", "size", "baseline", F.col("g_x0").alias("x0"), F.col("g_y0").alias("y0"), F.col("g_x1").alias("x1"), F.col("g_y1").alias("y1"), offset(F.col("char")).alias("offset"))
+
+
+def offset(char: Column) -> Column:
+    code = F.conv(F.hex(F.encode(char, "UTF-16BE")), 16, 10).cast("int")
+    return F.when(code.between(PUA_START, 0xF8FF), code - PUA_START)
+
+
+def mapped(glyphs: DataFrame, table: DataFrame) -> DataFrame:
+    """Latex and certain by offset from a table of a few hundred rows; other characters stand for themselves, unknown offsets for '?'."""
+    j = glyphs.join(F.broadcast(table.select("offset", F.col("latex").alias("_l"), F.col("certain").alias("_c"))), "offset", "left")
+    known = F.col("offset").isNull() | F.col("_l").isNotNull()
+    return j.withColumn("latex", F.when(F.col("offset").isNull(), F.col("char")).otherwise(F.coalesce("_l", F.lit("?")))).withColumn("known", known).withColumn("certain", F.coalesce("_c", F.col("offset").isNull())).drop("_l", "_c")
+
+
+def mapping_report(glyphs: DataFrame) -> DataFrame:
+    """By region the offsets without an entry, and those of uncertain ones."""
+    return glyphs.groupBy(*REGION).agg(F.array_sort(F.collect_set(F.when(~F.col("known"), F.col("offset")))).alias("unknown"), F.array_sort(F.collect_set(F.when(F.col("known") & ~F.col("certain"), F.col("offset")))).alias("uncertain"))
+
+
+def body_sizes(glyphs: DataFrame) -> DataFrame:
+    """The most frequent size (one decimal) of each region, the larger at ties; structural and blank glyphs do not vote."""
+    votes = glyphs.filter((F.trim("char") != "") & (F.col("offset").isNull() | ~F.col("offset").isin(BAR, HEAD, HOOK)))
+    count = votes.groupBy(*REGION, half_up(F.col("size"), 1).alias("s")).agg(F.count("*").alias("n"))
+    return count.groupBy(*REGION).agg(F.max(F.struct("n", "s"))["s"].alias("body"))
+
+
+def scripts(glyphs: DataFrame) -> DataFrame:
+    """Script '^', '_' or '' of glyphs with body and line (the baseline of their line)."""
+    small = (F.col("size") < SCRIPT_SIZE * F.col("body")) & F.col("offset").isNotNull()
+    shift = F.col("baseline") - F.col("line")
+    return glyphs.withColumn("script", F.when(small & (shift < -SCRIPT_SHIFT * F.col("body")), "^").when(small & (shift > SCRIPT_SHIFT * F.col("body")), "_").otherwise(""))
+
+
+def pair_check(glyphs: DataFrame) -> DataFrame:
+    """By region whether brackets come in equal numbers and bars in pairs."""
+    n = lambda x: F.count(F.when(F.col("latex") == x, 1))
+    return glyphs.groupBy(*REGION).agg(((n("(") == n(")")) & (n("{") == n("}")) & (n("|") % 2 == 0)).alias("paired"))
+
+
+def _lines(g: pd.DataFrame, body: float) -> list[pd.DataFrame]:
+    """A line ends where a baseline lies far below the lowest full-size glyph of the line."""
+    g = g.sort_values(["baseline", "x0"], kind="stable")
+    number, low, out = 0, None, []
+    for base, size in zip(g["baseline"], g["size"], strict=True):
+        if low is not None and base > low + LINE_STEP * body:
+            number, low = number + 1, None
+        if size >= SCRIPT_SIZE * body:
+            low = base if low is None else max(low, base)
+        elif low is None:
+            low = base
+        out.append(number)
+    return [x for _, x in g.assign(line=out).groupby("line")]
+
+
+def _flat(line: pd.DataFrame, body: float) -> str:
+    full = line[line["size"] >= SCRIPT_SIZE * body]
+    base = float((full if len(full) else line)["baseline"].median())
+    text, open_ = "", ""
+    for x in line.sort_values("x0", kind="stable").itertuples():
+        small = x.size < SCRIPT_SIZE * body and pd.notna(x.offset)
+        shift = (x.baseline - base) / body
+        script = "^" if small and shift < -SCRIPT_SHIFT else "_" if small and shift > SCRIPT_SHIFT else ""
+        if script != open_:
+            text += ("}" if open_ else "") + (script + "{" if script else "")
+            open_ = script
+        text += x.latex
+    return text + ("}" if open_ else "")
+
+
+def _structured(line: pd.DataFrame, body: float) -> tuple[str, str | None]:
+    """Bars, narrowest first, fold what stands above and below them into one glyph."""
+    bars = line[line["offset"] == BAR].assign(width=lambda d: d["x1"] - d["x0"]).sort_values("width", kind="stable")
+    rest = line[line["offset"] != BAR]
+    for bar in bars.itertuples():
+        middle = (rest["x0"] + rest["x1"]) / 2
+        inside = rest[(middle >= bar.x0) & (middle <= bar.x1)]
+        above, below = inside[inside["y1"] <= bar.y1], inside[inside["y0"] >= bar.y0]
+        head = rest[(rest["offset"] == HEAD) & ((rest["x0"] - bar.x1).abs() <= body)]
+        hook = rest[(rest["offset"] == HOOK) & ((bar.x0 - rest["x1"]).abs() <= body)]
+        flat = lambda d: _flat(d, body)
+        if not len(below):
+            return "", "structure"
+        if len(head):
+            used, latex = [below, head.head(1)], rf"\vec{{{flat(below)}}}"
+        elif len(hook):
+            used, latex = [below, hook.head(1)], rf"\sqrt{{{flat(below)}}}"
+        elif len(above):
+            if abs((above["x0"].min() + above["x1"].max()) - (bar.x0 + bar.x1)) / 2 > CENTRED * (bar.x1 - bar.x0):
+                return "", "structure"
+            used, latex = [above, below], rf"\frac{{{flat(above)}}}{{{flat(below)}}}"
+        else:
+            used, latex = [below], rf"\overline{{{flat(below)}}}"
+        gone = pd.concat(used).index
+        base = float(below["baseline"].iloc[0]) if not len(above) else float(bar.y1)
+        folded = pd.DataFrame([{**rest.loc[gone[0]].to_dict(), "latex": latex, "x0": bar.x0, "x1": bar.x1, "size": body, "baseline": base, "offset": None}])
+        rest = pd.concat([rest.drop(gone), folded], ignore_index=True)
+    if rest["offset"].isin([HEAD, HOOK]).any():
+        return "", "structure"
+    return _flat(rest, body), None
+
+
+def decoded(glyphs: DataFrame, graphics: DataFrame) -> DataFrame:
+    """LaTeX of each region, ok and the reason why not. glyphs: mapped, with body; graphics: REGION, graphics_reason."""
+
+    def region(g: pd.DataFrame) -> pd.DataFrame:
+        body = float(g["body"].iloc[0]) if pd.notna(g["body"].iloc[0]) else 0.0
+        reason, lines = None, []
+        if not (g["char"].str.strip() != "").any() or body <= 0:
+            reason = "empty"
+        else:
+            for line in _lines(g, body):
+                latex, why = _structured(line.reset_index(drop=True), body)
+                reason = reason or why
+                lines.append(latex)
+        text = "\n".join(lines)
+        pairs = text.count("(") == text.count(")") and text.count("|") % 2 == 0
+        first = next((r for bad, r in ((not g["known"].all(), "unknown"), (not g["certain"].all(), "uncertain"), (reason is not None, reason), (not pairs, "pairs")) if bad), None)
+        return pd.DataFrame({"doc_id": [g["doc_id"].iloc[0]], "no": [g["no"].iloc[0]], "latex": [text], "reason": [first]})
+
+    out = glyphs.groupBy(*REGION).applyInPandas(region, "doc_id long, no int, latex string, reason string").join(graphics, REGION, "left")
+    return out.withColumn("reason", F.coalesce("reason", "graphics_reason")).withColumn("ok", F.col("reason").isNull()).drop("graphics_reason")
+
+
+def routed(regions: DataFrame) -> DataFrame:
+    """What is decoded is stored; the rest goes to the model with the reason; without a crop it is an error."""
+    return regions.withColumn("route", F.when(F.col("ok"), "pua").when(F.col("has_crop"), "ai").otherwise("crop_missing"))
+
+
+def run_counters(attempts: DataFrame) -> DataFrame:
+    """By run: decoded, ai (attempts, not successes) and unavailable; a missing crop counts nowhere."""
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return attempts.groupBy("run_id").agg(n(F.col("route") == "pua", "decoded"), n(F.col("route") == "ai", "ai"), n((F.col("route") == "ai") & ~F.col("available"), "unavailable"))
+
+
+def line_numbers(glyphs: DataFrame) -> DataFrame:
+    """Lines of one-size text without scripts: a running count of large steps, for reports."""
+    w = Window.partitionBy(*REGION).orderBy("baseline", "x0")
+    return glyphs.withColumn("line_no", F.sum(F.when(F.col("baseline") - F.lag("baseline").over(w) > LINE_STEP * F.col("body"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
