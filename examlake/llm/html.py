@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from examlake.llm.shared import slices, text_of
 
-SAMPLE, ROUNDS, UNSEEN = 1500, 5, -1.0
+SAMPLE, ROUNDS, UNSEEN, MARGIN = 1500, 10, -1.0, 0.5
 #: White space of HTML texts: that of words, and the no-break space that &nbsp; gives.
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
@@ -84,7 +84,7 @@ def labelled_region(page: list[tuple[str, str, str]]) -> tuple[int, int] | None:
 
 
 def learned(pages: list[str]) -> dict[str, float]:
-    """Averaged perceptron: what the right region holds more often than the best one gains weight, and the reverse."""
+    """Averaged perceptron with a margin: what the right region holds more often than the best one gains weight, and the reverse; while training, parts of the right region count less and others more."""
     examples = []
     for html in pages:
         page = parts(html)
@@ -95,9 +95,9 @@ def learned(pages: list[str]) -> dict[str, float]:
     step = 1
     for _ in range(ROUNDS):
         for feats, (a, b) in examples:
-            x, y = best_region(scores(feats, weight))
+            inside = lambda i, p, q: p <= i < q
+            x, y = best_region([v + MARGIN * max(n, 1) * (-1 if inside(i, a, b) else 1) for i, (v, (_, n)) in enumerate(zip(scores(feats, weight), feats, strict=True))])
             if (x, y) != (a, b):
-                inside = lambda i, p, q: p <= i < q
                 for i, (tag, _) in enumerate(feats):
                     if tag and (change := inside(i, a, b) - inside(i, x, y)):
                         weight[tag] = weight[tag] + change
