@@ -60,9 +60,13 @@ def pair_check(glyphs: DataFrame) -> DataFrame:
 
 def _lines(g: pd.DataFrame, body: float) -> list[pd.DataFrame]:
     """A line ends where a baseline lies far below the lowest full-size glyph of the line."""
-    g = g.sort_values(["baseline", "x0"], kind="stable")
+    place = g["baseline"].astype(float).copy()
+    x, y = (g["x0"] + g["x1"]) / 2, (g["y0"] + g["y1"]) / 2
+    for bar in g[g["offset"] == BAR].itertuples():  # what stands above and below a bar is of its line
+        place[(x >= bar.x0) & (x <= bar.x1) & ((y - bar.y1).abs() <= 1.5 * body)] = bar.y1
+    g = g.assign(place=place).sort_values(["place", "x0"], kind="stable")
     number, low, out = 0, None, []
-    for base, size in zip(g["baseline"], g["size"], strict=True):
+    for base, size in zip(g["place"], g["size"], strict=True):
         if low is not None and base > low + LINE_STEP * body:
             number, low = number + 1, None
         if size >= SCRIPT_SIZE * body:
@@ -70,7 +74,7 @@ def _lines(g: pd.DataFrame, body: float) -> list[pd.DataFrame]:
         elif low is None:
             low = base
         out.append(number)
-    return [x for _, x in g.assign(line=out).groupby("line")]
+    return [x for _, x in g.drop(columns="place").assign(line=out).groupby("line")]
 
 
 def _flat(line: pd.DataFrame, body: float) -> str:
