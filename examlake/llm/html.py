@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.shared import slices, text_of
+from examlake.llm.shared import slices, smallest, text_of
 
 SAMPLE, ROUNDS, UNSEEN, MARGIN = 1500, 10, -1.0, 0.5
 #: White space of HTML texts: that of words, and the no-break space that &nbsp; gives.
@@ -109,7 +109,7 @@ def learned(pages: list[str]) -> dict[str, float]:
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dict[str, float]:
     """Tag weights from at most ``sample`` labelled pages, gathered in one task; what comes back is one number for each tag seen there."""
     marked = pages.select(html_col).filter(F.lower(F.col(html_col)).rlike("<(article|main)[ >]"))
-    chosen = marked.withColumn("at", F.xxhash64(html_col)).orderBy("at", html_col).limit(sample)
+    chosen = smallest(marked.withColumn("at", F.xxhash64(html_col)), "at", sample)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         weight = learned(list(rows.sort_values("at")[html_col]))

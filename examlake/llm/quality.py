@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.shared import slices, text_of
+from examlake.llm.shared import slices, smallest, text_of
 from examlake.llm.words import NON_SPACE, _span_hashes, mixed, words
 
 SAMPLE, BITS, STEPS, KEEP = 6000, 18, 300, 0.8
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Weights (2**bits floats, whatever the input) and thresholds. Features are made by all tasks, only those of the sample are gathered."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     rated = labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
-    rated = rated.groupBy(F.col(id_col).alias("id")).agg(F.min(grade).alias("grade")).withColumn("at", F.xxhash64("id")).orderBy("at", "id").limit(sample)
+    rated = smallest(rated.groupBy(F.col(id_col).alias("id")).agg(F.min(grade).alias("grade")).withColumn("at", F.xxhash64("id")), "at", sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rated), "id")  # at most `sample` rows of three numbers
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
