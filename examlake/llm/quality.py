@@ -4,7 +4,7 @@ Grades: 0 poor, 1 readable but toxic, 2 good (from labels: quality 0; quality 1
 vector w over hashed text features and ordered thresholds t1 < t2, P(grade >= k) = 1 / (1 + exp(t_k - w x)); the expected
 grade is the sum of these. A text is kept when P(grade >= 2) reaches ``KEEP``.
 
-Features are hashed: words in lower case, their beginnings (seven bytes), their shapes (letters a or A, digits 0, runs shortened)
+Features are hashed: words in lower case, their beginnings (six bytes), their shapes (letters a or A, digits 0, runs shortened)
 and repeated neighbours. Each family is the square root of its relative counts, so long and short texts weigh alike.
 The model is fitted on at most ``SAMPLE`` labelled texts, chosen by a hash of their id, a documented bound; all texts are
 scored, whole. Training is deterministic.
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from examlake.llm.shared import slices, smallest, text_of
 from examlake.llm.words import NON_SPACE, _span_hashes, mixed, words
 
-SAMPLE, BITS, STEPS, KEEP = 6000, 18, 300, 0.8
+SAMPLE, BITS, STEPS, KEEP = 12_000, 18, 300, 0.8
 #: Texts that a feature must stand in to get a weight, and how the weights are fitted.
 LEAST, RIDGE, RATE = 4, 1e-5, 2.0
-#: Letters that a word's beginning takes, in bytes; families of features.
-HEAD, FAMILIES = 7, 4
+#: What a word's beginning takes, in bytes.
+HEAD = 6
 #: Bytes by shape: lower case and beyond ASCII a, upper case A, digits 0, others themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("a") : ord("z") + 1] = ord("a")
