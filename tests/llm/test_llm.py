@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from examlake.llm import decontaminate, embeddings, html, licenses, mixing, ngram_join, quality, queries, secrets, substring_dedup, token_counts
+from examlake.llm.shared import smallest
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None, None), (2, "", "a"), (3, "  \n", "a"), (4, "one two", None), (4, "one two", None), (5, "one two", "b"), (6, "ß é 日本 x" * 3, "b"), (7, "w" * 100_000 + " " + "x y " * 20_000, "b"), (None, "null id here and some more words", "a")]
@@ -114,6 +115,13 @@ def test_quality_held_out(spark, odd):
     assert quality.score(odd.filter("false"), model).count() == 0
 
 
+def test_smallest_is_the_limit_of_the_sorted_rows(spark):
+    hashed = spark.range(5000).withColumn("at", F.xxhash64("id"))
+    for most in (1, 50, 4999, 9000):
+        assert smallest(hashed, "at", most).collect() == hashed.orderBy("at", "id").limit(most).collect()
+    assert smallest(hashed.filter("false"), "at", 5).count() == 0
+
+
 def test_decontamination_odd(spark, odd):
     items = spark.createDataFrame([(1, "One TWO"), (2, None), (3, "!!"), (4, "x"), (4, "x"), (None, "null id here")], "item_id long, text string")
     got = {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontaminate.matches(odd, items).collect()}
