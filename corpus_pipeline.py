@@ -18,8 +18,8 @@ ORACLE_SQL = None
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the classifier, fitted on labelled rows of ``docs``, does not reject."""
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(quality.keeps(F.col("p_good"))).select(*docs.columns)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter(quality.keeps(F.col("p_good"), F.col("text"), model)).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

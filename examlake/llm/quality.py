@@ -158,6 +158,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col
     return docs.mapInArrow(scan, f"{schema}, expected_grade double, p_good double")
 
 
-def keeps(p_good, text=None, threshold: float = KEEP):
-    """The decision: a tail probability of the threshold or more."""
+def keeps(p_good, text=None, model=True, threshold: float = KEEP):
+    """The decision: a tail probability of the threshold or more; without a model (None) every ``text`` that has words."""
+    if model is None:
+        return F.coalesce(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return F.coalesce(p_good >= threshold, F.lit(False))
