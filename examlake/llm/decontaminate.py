@@ -2,14 +2,16 @@
 
 Every shard (a batch of whole documents) builds a suffix array over its words: the starts of all suffixes that begin
 with some test bigram (no other can match two words), sorted by their words to ``depth``. Every suffix of every test
-item is binary-searched in it; the range of equal suffixes gives all places of the window of ``window`` words, and the
-neighbours of the insertion point give the longest verbatim match, which is followed beyond ``depth``.
+item is binary-searched in it; the range of equal suffixes gives all places of the window of ``window`` words.
+For the longest verbatim match of each document it is the other way round: the item suffixes are sorted by all their words,
+and each suffix of the shard is binary-searched among them, whose neighbours then hold the longest match of that place.
 The items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, so a benchmark of any size fits; documents are
 never shuffled.
 
 Defined results: a null text or item has no words; an item of fewer words than a window is one window; an item
 without words matches nothing; equal item ids count once; repeated rows give repeated rows; an empty benchmark
-contaminates nothing; extra columns stay.
+contaminates nothing; extra columns stay. The longest match may be of one word; of equal lengths the earliest in the
+document counts, then the least item id as a string (null last) and the earliest place in it.
 """
 
 from __future__ import annotations
@@ -41,6 +43,26 @@ class _Items:
         self.place = place
         self.takes = np.where(count < window, np.where(place == 0, count, 0), np.where(self.left >= window, window, 0))
         self.depth = max(window, 2)
+        self._sort()
+
+    def _sort(self) -> None:
+        """All suffixes in order of all their words (``sa``), by doubling; ``key`` is the item, by its name, and the place of each."""
+        n, k = len(self.hash), 1
+        self.alphabet, rank = np.unique(self.hash, return_inverse=True)
+        rank, most = rank.astype(np.int64) + 1, int(self.left.max(initial=0))
+        while k < most:  # ranks of the first k words; what ends earlier goes first
+            follow = np.zeros(n, np.int64)
+            live = np.flatnonzero(self.left > k)
+            follow[live] = rank[live + k]
+            rank = np.unique(rank * (n + 1) + follow, return_inverse=True)[1].astype(np.int64) + 1
+            k *= 2
+        self.sa = np.argsort(rank, kind="stable")
+        self.names = sorted(set(self.ids), key=lambda x: (x is None, x or ""))
+        number = {x: i for i, x in enumerate(self.names)}
+        self.key = ((np.array([number[x] for x in self.ids], np.int64)[self.item] << 32) + self.place)[self.sa]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        return self.alphabet[np.minimum(np.searchsorted(self.alphabet, h), len(self.alphabet) - 1)] == h
 
     def symbols(self, at: np.ndarray, depth: int) -> np.ndarray:
         """Words of the suffixes at ``at``, padded with 0 beyond the item's end."""
@@ -95,28 +117,56 @@ class _SuffixArray:
         return bound(False), bound(True)
 
 
-def _longest(sa: _SuffixArray, items: _Items, at: np.ndarray, want: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each test suffix, the words that its best neighbour in the suffix array shares, and that neighbour."""
-    best, who = np.zeros(len(at), np.int64), np.full(len(at), -1)
-    for near in (place - 1, place):
-        ok = np.flatnonzero((near >= 0) & (near < len(sa.sa)))
-        same = np.ones(len(ok), bool)
-        length = np.zeros(len(ok), np.int64)
-        for d in range(len(want)):
-            same &= (sa.keys[d, near[ok]] == want[d, ok]) & (items.left[at[ok]] > d) & (sa.left[sa.sa[near[ok]]] > d)
-            length += same
-        d = len(want)
-        while same.any():  # beyond the depth of the array
-            live = np.flatnonzero(same)
-            a, b = at[ok[live]], sa.sa[near[ok[live]]]
-            go = (items.left[a] > d) & (sa.left[b] > d)
-            go[go] = items.hash[a[go] + d] == sa.w.hash[b[go] + d]
-            same[live[~go]] = False
-            length[live[go]] += 1
-            d += 1
-        better = length > best[ok]
-        best[ok[better]], who[ok[better]] = length[better], sa.sa[near[ok[better]]]
-    return best, who
+def _matched(h: np.ndarray, at: np.ndarray, cap: np.ndarray, items: _Items, right: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first ``cap`` words from each place ``at`` belong among all item suffixes (before or behind those that begin with them), and how many of them the longest match takes."""
+    lo, hi = np.full(len(at), -1), np.full(len(at), len(items.sa))
+    of_lo, of_hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    while len(open_ := np.flatnonzero(hi - lo > 1)):
+        mid = (lo[open_] + hi[open_]) >> 1
+        there, here, most = items.sa[mid], at[open_], cap[open_]
+        most_there = items.left[there]
+        n = np.minimum(of_lo[open_], of_hi[open_])  # what both neighbours share is shared by all between them
+        live = np.arange(len(open_))
+        while len(live):
+            live = live[(n[live] < most[live]) & (n[live] < most_there[live])]
+            live = live[items.hash[there[live] + n[live]] == h[here[live] + n[live]]]
+            n[live] += 1
+        before = np.where(n == most, right, n == most_there)
+        differ = np.flatnonzero((n < most) & (n < most_there))
+        before[differ] = items.hash[there[differ] + n[differ]] < h[here[differ] + n[differ]]
+        for side, best, ok in ((lo, of_lo, before), (hi, of_hi, ~before)):
+            side[open_[ok]], best[open_[ok]] = mid[ok], n[ok]
+    return lo + 1, np.maximum(of_lo, of_hi)
+
+
+def _longest(sa: _SuffixArray, items: _Items) -> dict[int, tuple[int, str | None, int, int]]:
+    """By text, its longest match of any item suffix: (length, item, place in the item, place in the text). Of equal lengths the earliest in the text counts, then the least item and place in it."""
+    w, text = sa.w, sa.w.text()
+    if not len(w.hash) or not len(items.sa):
+        return {}
+    starts = np.sort(sa.sa)
+    _, length = _matched(w.hash, starts, sa.left[starts], items, True)
+    order = np.lexsort((starts, -length, text[starts]))
+    order = order[np.diff(text[starts[order]], prepend=-1) != 0]
+    order = order[length[order] > 1]
+    at, length = starts[order], length[order]
+    # texts that share no pair of words: the first word that stands in an item
+    rest = np.ones(len(w.first) - 1, bool)
+    rest[text[at]] = False
+    single = np.flatnonzero(rest[text])
+    single = single[items.has(w.hash[single])]
+    single = single[np.diff(text[single], prepend=-1) != 0]
+    at, length = np.concatenate([at, single]), np.concatenate([length, np.ones(len(single), np.int64)])
+    ranges = np.stack([_matched(w.hash, at, length, items, right)[0] for right in (False, True)], axis=1)
+    ranges, of = np.unique(ranges, axis=0, return_inverse=True)
+    least = np.array([items.key[a:b].min() for a, b in ranges], np.int64)[of.reshape(-1)]
+    place = w.place()[at]
+    return {int(t): (int(n), items.names[k >> 32], int(k & 0xFFFFFFFF), int(p)) for t, n, k, p in zip(text[at], length, least, place, strict=True)}
+
+
+def _better(match: dict) -> tuple:
+    """Of the matches of several blocks the least by this is the longest one; ties as in ``_longest``."""
+    return -match["length"], match["doc_start"], match["item_id"] is None, match["item_id"] or "", match["item_start"]
 
 
 def _block(docs: DataFrame, text_col: str, block) -> DataFrame:
@@ -137,13 +187,7 @@ def _block(docs: DataFrame, text_col: str, block) -> DataFrame:
             of = np.repeat(hits, n)
             text = w.text()
             doc = text[suffix] if len(suffix) else np.zeros(0, np.int64)
-            length, where = _longest(sa, items, at, want, lo)
-            # the longest match of each document, the earliest item and place at ties
-            found = np.flatnonzero(where >= 0)
-            order = found[np.lexsort((found, -length[found], text[where[found]]))] if len(found) else found
-            longest = {}
-            for i in order:
-                longest.setdefault(int(text[where[i]]), i)
+            longest = _longest(sa, items)
             by_doc = np.argsort(doc, kind="stable")
             cut = np.searchsorted(doc[by_doc], np.arange(batch.num_rows + 1))
             rows = []
@@ -152,11 +196,11 @@ def _block(docs: DataFrame, text_col: str, block) -> DataFrame:
                 spans = {(int(s - w.first[i]), int(s - w.first[i] + items.takes[t])) for s, t in zip(suffix[mine], of[mine], strict=True)}
                 ids = {items.ids[items.item[t]] for t in of[mine]}
                 best = longest.get(i)
-                match = None if best is None else {"item_id": items.ids[items.item[best]], "length": int(length[best]), "item_start": int(items.place[best]), "doc_start": int(where[best] - w.first[i])}
+                match = None if best is None else dict(zip(("length", "item_id", "item_start", "doc_start"), best, strict=True))
                 if before is not None:
                     spans |= {(x["start"], x["end"]) for x in before["spans"]}
                     ids |= set(before["items"])
-                    match = max((x for x in (before["longest"], match) if x), key=lambda x: x["length"], default=None)
+                    match = min((x for x in (before["longest"], match) if x), key=_better, default=None)
                 merged: list[list[int]] = []
                 for a, b in sorted(spans):
                     if merged and a <= merged[-1][1]:
