@@ -19,7 +19,7 @@ def _block(kind: str, level: Column | None, text: Column | None) -> Column:
 def item_body(as_text: Column, text: Column, has_crop: Column) -> Column:
     """B1: text when asked for and there is some, else the image; a text that points at a figure has the image, too."""
     image, body = F.array(_block("image", None, None)), F.array(_block("text", None, text))
-    usable = as_text & (F.coalesce(F.trim(text), F.lit("")) != "")
+    usable = as_text & (F.coalesce(T.stripped(text), F.lit("")) != "")
     return F.when(usable & T.needs_figure(text) & has_crop, F.concat(body, image)).when(usable, body).otherwise(image)
 
 

@@ -168,6 +168,45 @@ def a14_export_notices(spark, d):
     return blocks.export_notice(p)
 
 
+# Whole jobs over the texts themselves: a parser's results, which SQL cannot give; tests compare them with brute force.
+def _maths(spark, d):
+    """Documents as they are, with maths before and behind the text, and with the whole text as maths."""
+    t = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit(r"$x^2$ "), "text", F.lit(r" \(\frac{1}{2}\)"))).when(F.col("doc_id") % 3 == 2, F.concat(F.lit("$$"), "text", F.lit("$$"))).otherwise(F.col("text"))
+    return I.table(spark, d, "documents").select("doc_id", t.alias("t"))
+
+
+@query()
+def p20_p21_document_plain_texts(spark, d):
+    return _maths(spark, d).select("doc_id", M.plain(F.col("t")).alias("plain"))
+
+
+@query()
+def p22_document_segments(spark, d):
+    s = _maths(spark, d).select("doc_id", F.posexplode(M.plain_segments(F.col("t"))).alias("pos", "s"))
+    return s.select("doc_id", "pos", F.col("s.text").alias("x"), "s.latex")
+
+
+@query()
+def p23_conversation_mentions(spark, d):
+    return I.table(spark, d, "conversations").select("conv_id", "turn", T.mentions(F.col("text"), F.sequence(F.lit(1), F.lit(22))).alias("numbers"))
+
+
+@query()
+def p24_conversation_intents(spark, d):
+    c = I.table(spark, d, "conversations").select("conv_id", "turn", T.note_intent(F.col("text"), F.sequence(F.lit(1), F.lit(22))).alias("i"))
+    return c.select("conv_id", "turn", "i.adds", "i.numbers", "i.note")
+
+
+@query()
+def b1_b2_b3_document_blocks(spark, d):
+    """Exams of the texts themselves: every second problem as text, every third with its text as the solution."""
+    x = I.problems(spark, d)
+    body = blocks.item_body(F.col("doc_id") % 2 == 0, F.col("text"), F.lit(True))
+    answer = blocks.solution_blocks(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## 문제 확인\nq\n## 풀이\n"), "text")))
+    items = x.withColumns({"body": body, "answer": answer}).select(F.col("node_id").alias("doc_id"), F.col("no").cast("long").alias("item"), T.display_no(F.col("no"), F.lit("")).alias("heading"), "body", "answer")
+    return blocks.assembled(items, F.concat(F.lit("exam "), F.col("doc_id"))).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'empty_file' WHEN page_id % 2 = 0 THEN 'not_a_pdf' END AS reason FROM pages")
 def s4_upload_errors(spark, d):
     p = I.table(spark, d, "pages").select("page_id", F.expr("case when page_id % 10 = 0 then '' when page_id % 2 = 0 then html else concat('%PDF-1.7', html) end").cast("binary").alias("content"))
