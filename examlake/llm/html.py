@@ -1,18 +1,24 @@
 """Main text of web pages: the contiguous region of the largest score, words positive and tags negative.
 
-A page is a run of tags and texts. Each word scores +1, each tag its weight, which is negative as a rule; the region with the
-largest sum is found in one pass. Weights are learned by an averaged structured perceptron on labelled pages: pages
+A page is a run of tags and texts. Each word scores +1, each tag its weight, which is below zero always; the region with the
+largest sum is found in one pass. Words in containers that are never content (menus, forms, asides, scripts, comments and the
+like) do not count, and are left out of the region. Weights are learned by an averaged, projected structured perceptron on labelled pages: pages
 that mark their content themselves (one <article> or one <main>). Up to ``SAMPLE`` of them, by a hash of their text, are
-used, a documented bound; tags that never occurred there weigh ``UNSEEN``. Within the region, containers that are never
-content (menus, forms, asides, scripts, comments and the like) are left out.
+used, a documented bound; tags that never occurred there weigh ``UNSEEN``.
+
+Pages are read in one pass whatever they hold: a quote opens a value only where one closes it, and what is looked for once in
+vain is not looked for again. Elements close as HTML says (a new <p> ends the open one, the end of a container ends all in
+it). A container of a never kind that nothing closes reaches to the next block only, and one that holds the page's <main> or
+only <article> is none, so no slip in the markup loses the rest of a page.
 
 Defined results: a null or empty page, and one without words, has the empty text; equal scores take the first and
-shortest region; a page whose tags are never closed ends its region with the page; repeated rows give repeated rows.
+shortest region; repeated rows give repeated rows; a column named text is replaced, other columns stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
@@ -22,39 +28,158 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.shared import slices, smallest, text_of
+from examlake.llm.shared import slices, smallest, text_of, with_results
 
 SAMPLE, ROUNDS, UNSEEN, MARGIN = 1500, 10, -1.0, 0.5
+#: The most that a tag may weigh.
+HIGHEST = -0.05
 #: White space of HTML texts: that of words, and the no-break space that &nbsp; gives.
 _SPACE = re.compile(r"\s+")
-_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: What follows a tag's name where every value is plain; and what may end a tag or begin a value elsewhere.
+_PLAIN = re.compile(r"(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+>")
+_STOP = re.compile("[>\"']")
+_NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
-# Elements that stand inside a line of text, that have no end tag, and that are never content.
+# Elements that stand inside a line of text, that have no end tag, whose content is no markup, and that are never content.
 INLINE = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = set("nav header footer aside form button dialog menu".split())
+RAW = {tag: re.compile(rf"</{tag}(?![a-zA-Z0-9-])[^>]*+>", re.IGNORECASE) for tag in "script style textarea title noscript iframe".split()}
+NEVER = set("nav header footer aside form button dialog menu select template svg textarea title noscript iframe".split())
 NEVER_NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumbs?|comments?|cookies?|disqus|footer|menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|share|sharing|sidebar|social|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
+# Elements that may end without an end tag, the start tags that end each, and within what they are looked for.
+_BLOCKS = "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul"
+_ENDED_BY = {"p": _BLOCKS, "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr tbody tfoot thead", "td": "td th tr tbody tfoot thead", "th": "td th tr tbody tfoot thead", "thead": "tbody tfoot", "tbody": "tbody tfoot", "tfoot": "tbody", "option": "option optgroup"}
+_WITHIN = {"p": "td th caption button", "li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select"}
+_ENDS = {tag: [old for old, by in _ENDED_BY.items() if tag in by.split()] for by in _ENDED_BY.values() for tag in by.split()}
+_TABLE = "table thead tbody tfoot tr td th caption".split()
+
+Part = tuple[str, str, str]
 
 
-def parts(html: str) -> list[tuple[str, str, str]]:
-    """(kind, name, value): ("text", "", text) and ("open" or "close", tag, class, id and role names)."""
-    out, at = [], 0
-    for m in _PARTS.finditer(html):
-        if m.start() > at:
-            out.append(("text", "", html[at : m.start()]))
+def _tag_end(html: str, at: int) -> int:
+    """The place behind the > that ends the tag; -1 where none does. A quote that no well-placed one closes is a character like others."""
+    while m := _STOP.search(html, at):
         at = m.end()
-        if m[3]:
-            named = "" if m[2] else " ".join(a or b or c for a, b, c in _NAMED.findall(m[4] or ""))
-            out.append(("close" if m[2] else "open", m[3].lower(), named))
-    if at < len(html):
-        out.append(("text", "", html[at:]))
+        if m[0] == ">":
+            return at
+        close = html.find(m[0], at)
+        if close >= 0 and html[close + 1 : close + 2] in ("", " ", "\n", "\t", "\r", "\f", "/", ">"):
+            at = close + 1
+    return -1
+
+
+def parts(html: str) -> list[Part]:
+    """(kind, name, value): ("text", "", text) and ("open" or "close", tag, class, id and role names), in one pass."""
+    out: list[Part] = []
+    at, text_from, size = 0, 0, len(html)
+    gone: set[str] = set()  # what is not to come any more
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at + 1 >= size:
+            break
+        begin, follow = at, html[at + 1]
+        named = None
+        if follow in "!?":
+            end = -1
+            if html.startswith("<!--", at) and "-->" not in gone:
+                end = html.find("-->", at + 2) + 3
+                if end == 2:
+                    gone.add("-->")
+                    end = -1
+            if end < 0:
+                end = html.find(">", at) + 1
+                if not end:
+                    break
+        elif named := _NAME.match(html, at + 1):
+            if m := _PLAIN.match(html, named.end()):
+                end = m.end()
+            else:
+                end = -1 if "quoted" in gone else _tag_end(html, named.end())
+                if end < 0:
+                    gone.add("quoted")
+                    end = html.find(">", named.end()) + 1
+                    if not end:
+                        break
+        else:
+            at += 1
+            continue
+        if begin > text_from:
+            out.append(("text", "", html[text_from:begin]))
+        if named:
+            name, closes = named[2].lower(), bool(named[1])
+            if not closes and name in RAW and name not in gone:
+                if close := RAW[name].search(html, end):
+                    end = close.end()
+                    named = None
+                elif name in ("script", "style"):
+                    end, named = size, None
+                else:
+                    gone.add(name)
+            if named:
+                rest = "" if closes else html[named.end() : end - 1]
+                out.append(("close" if closes else "open", name, " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if "=" in rest else ""))
+        at = text_from = end
+    if text_from < size:
+        out.append(("text", "", html[text_from:]))
     return out
 
 
-def features(page: list[tuple[str, str, str]]) -> list[tuple[str, int]]:
-    """For each part its tag feature ("" for texts) and its words."""
-    return [("", len(v.split())) if kind == "text" else (("/" if kind == "close" else "") + name + (f".{v.split()[0].lower()}" if v.split() else ""), 0) for kind, name, v in page]
+def skipped(page: list[Part]) -> list[bool]:
+    """For each part, whether it lies in a container that is never content."""
+    stack: list[tuple[str, int, bool]] = []
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack, by name
+    found: list[tuple[int, int]] = []
+    loose: list[int] = []
+
+    def top(names) -> int:
+        return max((open_at[n][-1] for n in names if open_at[n]), default=-1)
+
+    def pop_to(depth: int, i: int, by: str = "") -> None:
+        while len(stack) > depth:
+            name, begin, never = stack.pop()
+            open_at[name].pop()
+            if never and (name in _ENDED_BY or (name == by and len(stack) == depth)):
+                found.append((begin, i))
+            elif never:
+                loose.append(begin)
+
+    blocks = []
+    for i, (kind, name, value) in enumerate(page):
+        if kind == "text" or name in INLINE:
+            continue
+        blocks.append(i)
+        if kind == "open":
+            for old in _ENDS.get(name, ()):
+                if (depth := top((old,))) > top(_WITHIN.get(old, "table").split()):
+                    pop_to(depth, i)
+            if name not in VOID:
+                open_at[name].append(len(stack))
+                stack.append((name, i, name in NEVER or (name not in ("body", "html", "article", "main") and bool(value) and NEVER_NAMED.search(value) is not None)))
+        else:
+            depth = top((name,))
+            if depth >= 0 and (name in _TABLE or depth > top(("td", "th", "caption"))):
+                pop_to(depth, i, name)
+    pop_to(0, len(page))
+    for begin in loose:
+        after = bisect_right(blocks, begin)
+        found.append((begin, blocks[after] if after < len(blocks) else len(page)))
+    marked = [own[0] for tag in ("article", "main") if len(own := [i for i, (kind, name, _) in enumerate(page) if kind == "open" and name == tag]) == 1]
+    change = [0] * (len(page) + 1)
+    for begin, end in found:
+        if not any(begin < x < end for x in marked):
+            change[begin] += 1
+            change[end] -= 1
+    out, depth = [], 0
+    for x in change[:-1]:
+        depth += x
+        out.append(depth > 0)
+    return out
+
+
+def features(page: list[Part], never: list[bool]) -> list[tuple[str, int]]:
+    """For each part its tag feature ("" for texts) and its words, of which those that are never content do not count."""
+    return [("", 0 if out else len(v.split())) if kind == "text" else (("/" if kind == "close" else "") + name + (f".{v.split()[0].lower()}" if v.split() else ""), 0) for (kind, name, v), out in zip(page, never, strict=True)]
 
 
 def best_region(scored: list[float]) -> tuple[int, int]:
@@ -73,7 +198,7 @@ def scores(feats: list[tuple[str, int]], weight: dict[str, float]) -> list[float
     return [float(n) if not tag else weight.get(tag, UNSEEN) for tag, n in feats]
 
 
-def labelled_region(page: list[tuple[str, str, str]]) -> tuple[int, int] | None:
+def labelled_region(page: list[Part]) -> tuple[int, int] | None:
     """The inside of the page's only <article>, or else only <main>; None where there is none."""
     for tag in ("article", "main"):
         opened = [i for i, (kind, name, _) in enumerate(page) if kind == "open" and name == tag]
@@ -84,12 +209,12 @@ def labelled_region(page: list[tuple[str, str, str]]) -> tuple[int, int] | None:
 
 
 def learned(pages: list[str]) -> dict[str, float]:
-    """Averaged perceptron with a margin: what the right region holds more often than the best one gains weight, and the reverse; while training, parts of the right region count less and others more."""
+    """Averaged perceptron with a margin: what the right region holds more often than the best one gains weight, up to ``HIGHEST``, and the reverse; while training, parts of the right region count less and others more."""
     examples = []
     for html in pages:
         page = parts(html)
         if region := labelled_region(page):
-            examples.append((features(page), region))
+            examples.append((features(page, skipped(page)), region))
     weight: dict[str, float] = defaultdict(lambda: UNSEEN)
     total: dict[str, float] = defaultdict(float)
     step = 1
@@ -100,7 +225,8 @@ def learned(pages: list[str]) -> dict[str, float]:
             if (x, y) != (a, b):
                 for i, (tag, _) in enumerate(feats):
                     if tag and (change := inside(i, a, b) - inside(i, x, y)):
-                        weight[tag] = weight[tag] + change
+                        change = min(weight[tag] + change, HIGHEST) - weight[tag]
+                        weight[tag] += change
                         total[tag] += step * change
             step += 1
     return {tag: weight[tag] - total[tag] / step for tag in weight}
@@ -120,21 +246,15 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dic
 
 def main_text(html: str, weight: dict[str, float]) -> str:
     page = parts(html)
-    a, b = best_region(scores(features(page), weight))
-    # containers open where the region begins count, too
-    skip: list[str] = []
+    never = skipped(page)
+    a, b = best_region(scores(features(page, never), weight))
     blocks: list[list[str]] = [[]]
-    for i, (kind, name, value) in enumerate(page[:b]):
+    for i in range(a, b):
+        kind, name, value = page[i]
         if kind == "text":
-            if not skip and i >= a:
+            if not never[i]:
                 blocks[-1].append(value)
-            continue
-        never = kind == "open" and (name in NEVER or (name not in INLINE | VOID | {"body", "html", "article", "main"} and NEVER_NAMED.search(value)))
-        if kind == "open" and (never or (skip and name == skip[0])) and name not in VOID:
-            skip.append(name)
-        elif kind == "close" and skip and name == skip[-1]:
-            skip.pop()
-        if name not in INLINE and blocks[-1]:
+        elif name not in INLINE and blocks[-1]:
             blocks.append([])
     lines = (_SPACE.sub(" ", unescape("".join(x))).strip() for x in blocks)
     return "\n".join(x for x in lines if x)
@@ -142,12 +262,12 @@ def main_text(html: str, weight: dict[str, float]) -> str:
 
 def extract(pages: DataFrame, weight: dict[str, float], html_col: str = "html") -> DataFrame:
     """``pages`` with ``html_col`` replaced by text."""
-    keep = [c for c in pages.columns if c != html_col]
+    rows, schema = with_results(pages, "text string", without=html_col)
+    keep = [f.name for f in schema.fields[:-1]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, html_col):
             texts = [main_text(h.as_py(), weight) for h in text_of(batch, html_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html_col)
-    return pages.mapInArrow(scan, f"{schema}, text string")
+    return rows.mapInArrow(scan, schema)

@@ -12,7 +12,8 @@ in better units; those inside a line or whole text reported for the same licence
 The templates are broadcast; each has at most ``LARGEST`` word pairs, a larger one is an error.
 
 Defined results: a null or empty text, and a unit of one word, has no pairs and matches nothing; of equal scores
-the first licence by name counts; repeated rows give repeated rows; extra columns stay.
+the first licence by name counts; repeated rows give repeated rows; a column named licenses is replaced,
+other columns stay.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.shared import slices, text_of
+from examlake.llm.shared import fresh, slices, text_of, with_results
 from examlake.llm.words import NON_SPACE, mixed, words
 
 # Notices and headers as their licences ask for them.
@@ -165,17 +166,17 @@ def _of_text(h: np.ndarray, line: np.ndarray, lines: int, near: list[int], forms
 def find_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, percent: int = DICE_PERCENT) -> DataFrame:
     """``docs`` with licenses: an array, ordered by line (the whole text as line -1), of line, last line, license and dice."""
     forms = _Forms(templates, percent)
-    docs = docs.drop("licenses")
+    docs, schema = with_results(docs, f"licenses {FOUND}")
     if not forms.names:
         return docs.withColumn("licenses", F.expr(f"cast(array() as {FOUND})"))
     sent = docs.sparkSession.sparkContext.broadcast(forms)
-    names = [*docs.columns, "licenses"]
+    names, column = schema.names, fresh(docs, "plain")
     kind = pa.list_(pa.struct([("line", pa.int32()), ("last", pa.int32()), ("license", pa.string()), ("dice", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms: _Forms = sent.value
-        for batch in slices(batches, "_plain"):
-            plain = text_of(batch, "_plain")
+        for batch in slices(batches, column):
+            plain = text_of(batch, column)
             w = words(plain, NON_SPACE)
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             if len(w.hash) > 1:
@@ -191,6 +192,6 @@ def find_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
                     found[i] = _of_text(h[a : b - 1], line, of.count("\n") + 1, which, forms)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    return docs.withColumn("_plain", plain).mapInArrow(scan, f"{schema}, licenses {FOUND}")
+    # the last column, under a name that no column of the input has
+    return docs.withColumn(column, plain).mapInArrow(scan, schema)

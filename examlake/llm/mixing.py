@@ -5,8 +5,10 @@
    order of size over weight, the sources that reach their limit come first, so one pass over the sources settles it).
 2. Packing: the texts of a source, in a hashed order, are one stream of words cut in blocks of ``BLOCK`` words. Places in
    the stream are sums over buckets of about ``BUCKET`` texts, then over buckets, so no source is ever one task.
-3. Each source has so many slots that they take its target. Slots are drawn into output shards by hash, so the counts of
-   a source over shards are multinomial with the right sum, and a shard's count of each source is a draw of its own.
+3. Each source has a quota of slots that takes its target; all slots lie in output shards of ``SHARD`` slots. Every slot draws
+   a source by its quota's share, so a shard's counts of the sources are one multinomial draw. The counts number the
+   slots: those of a source in its first shard come first, and so on. Slots that a source was drawn for beyond its quota
+   go to the sources that were drawn too seldom, in order, so that targets are met and no text is taken too often.
 4. Slot k of a source takes block p(k mod blocks), where p is a swap-or-not permutation (Hoang, Morris and Rogaway, 2012) of
    the block numbers, keyed by the source: a bijection on any number of blocks, without a table.
    So each block is taken k div blocks times or once more, and never more than ``most`` times.
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from examlake.llm.shared import written
 
-BLOCK, BUCKET, ROUNDS, SHARD_SLOTS = 128, 4096, 24, 8192
+BLOCK, BUCKET, ROUNDS = 128, 4096, 24
+#: Slots of an output shard, shards whose counts are summed at once, and numbers of one cell of a draw.
+SHARD, SHARDS, CELL = 8192, 1024, 64
 WEIGHTS = (3, 1, 2)
 
 
@@ -69,6 +73,55 @@ def _segments(texts: DataFrame) -> DataFrame:
     return cut.select("source_key", "block", "row", (start - F.col("at")).alias("start"), (F.least(F.col("at") + F.col("words"), (F.col("block") + 1) * BLOCK) - start).alias("words"))
 
 
+def _cells(parts: DataFrame, start: str, size: str) -> DataFrame:
+    """``parts`` (each has the numbers from ``start`` on, ``size`` of them) by the cells of ``CELL`` numbers that they touch. As no part is empty, a cell has ``CELL`` parts at most."""
+    last = F.floor((F.col(start) + F.col(size) - 1) / CELL)
+    return parts.filter(F.col(size) > 0).withColumn("cell", F.explode(F.sequence(F.floor(F.col(start) / CELL), last)))
+
+
+def _within(numbers: DataFrame, number: str, cells: DataFrame, start: str, size: str) -> DataFrame:
+    """Each row of ``numbers`` with the part that holds its number: joined by cell, so that a large part is many keys."""
+    hit = numbers.withColumn("cell", F.floor(F.col(number) / CELL)).join(cells, "cell")
+    return hit.filter((F.col(number) >= F.col(start)) & (F.col(number) < F.col(start) + F.col(size))).drop("cell")
+
+
+def shard_counts(quotas: DataFrame, seed: int = 1) -> DataFrame:
+    """(shard, source_key, drawn): how many slots of each shard draw each source. ``quotas``: source_key and slots."""
+    in_order = Window.partitionBy(F.lit(0)).orderBy("source_key").rowsBetween(Window.unboundedPreceding, -1)
+    parts = quotas.filter("slots > 0").select("source_key", "slots", F.coalesce(F.sum("slots").over(in_order), F.lit(0)).alias("from"))
+    total = quotas.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    slots = quotas.sparkSession.range(0, total, 1, max(1, -(-total // (8 * SHARD)))).select(F.floor(F.col("id") / SHARD).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit(11), "id"), F.lit(max(total, 1))).alias("draw"))
+    return _within(slots, "draw", _cells(parts, "from", "slots"), "from", "slots").groupBy("shard", "source_key").agg(F.count("*").alias("drawn"))
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    """``counts`` with first: the number of the source's first slot in the shard. Sums over ``SHARDS`` shards, then over those."""
+    near = counts.withColumn("group", F.floor(F.col("shard") / SHARDS))
+    own = Window.partitionBy("source_key", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source_key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    base = near.groupBy("source_key", "group").agg(F.sum("drawn").alias("sum")).select("source_key", "group", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    first = F.col("base") + F.coalesce(F.sum("drawn").over(own), F.lit(0))
+    return near.join(base, ["source_key", "group"]).select("shard", "source_key", "drawn", first.alias("first"))
+
+
+def _settled(counts: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(shard, source_key, blocks, slot): numbered slots, exactly as many of each source as its quota. ``quotas``: source_key, blocks and slots."""
+    numbered = written(_numbered(counts))
+    sums = quotas.select("source_key", "blocks", "slots").join(numbered.groupBy("source_key").agg(F.sum("drawn").alias("drawn")), "source_key", "left").na.fill(0)
+    over, lack = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
+    in_order = Window.partitionBy(F.lit(0)).orderBy("source_key").rowsBetween(Window.unboundedPreceding, -1)
+    of = sums.select("source_key", "blocks", "slots", "drawn", lack.alias("lack"), F.coalesce(F.sum(over).over(in_order), F.lit(0)).alias("over_from"), F.coalesce(F.sum(lack).over(in_order), F.lit(0)).alias("lack_from"))
+    of = written(of)
+    run = lambda low, high: F.explode(F.sequence(low, high - 1))
+    runs = numbered.join(of.select("source_key", "blocks", "slots", "over_from"), "source_key").withColumn("end", F.col("first") + F.col("drawn"))
+    kept = runs.filter(F.col("first") < F.col("slots")).select("shard", "source_key", "blocks", run(F.col("first"), F.least("end", "slots")).alias("slot"))
+    beyond = runs.filter(F.col("end") > F.col("slots")).select("shard", (F.col("over_from") - F.col("slots") + F.col("first")).alias("shift"), F.greatest(F.lit(0).cast("long"), F.col("slots") - F.col("first")).alias("skip"), "drawn")
+    beyond = beyond.select("shard", "shift", run(F.col("skip"), F.col("drawn")).alias("i")).select("shard", (F.col("shift") + F.col("i")).alias("number"))
+    lacking = _cells(of.select("source_key", "blocks", "drawn", "lack", "lack_from"), "lack_from", "lack")
+    moved = _within(beyond, "number", lacking, "lack_from", "lack").select("shard", "source_key", "blocks", (F.col("drawn") + F.col("number") - F.col("lack_from")).alias("slot"))
+    return kept.unionAll(moved)
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts, slots, segments).
 
@@ -82,20 +135,15 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("texts"))
     goal = targets(sources).withColumn("source_key", named).withColumn("blocks", F.ceil(F.col("source_size") / BLOCK))
     count = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.col("blocks"))).otherwise(0).cast("long")
-    shards = F.greatest(F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(0))) / SHARD_SLOTS), F.lit(1))
-    goal = written(goal.withColumn("slots", count).withColumn("shards", shards).withColumn("buckets", F.greatest(F.ceil(F.col("texts") / BUCKET), F.lit(1))))
+    goal = written(goal.withColumn("slots", count).withColumn("buckets", F.greatest(F.ceil(F.col("texts") / BUCKET), F.lit(1))))
 
     joined = base.join(goal.select("source_key", "source_size", "target", "buckets"), "source_key")
     texts = joined.select("row", F.col("id").alias(id_col), "size", "source", "source_size", "target")
     segments = _segments(joined.filter("size > 0").groupBy("row", "source_key", "buckets").agg(F.sum("size").alias("words")))
 
-    # slots are made in runs, so that a large source is made by many tasks
-    run = 1 << 14
-    total = goal.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    runs = goal.filter("slots > 0").select("source_key", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / run))).alias("run")).repartition(max(1, -(-total // (4 * run))), "source_key", "run")
-    slots = runs.select("source_key", "blocks", "shards", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("slots")) - 1)).alias("slot"))
     key = F.xxhash64(F.lit(seed), F.col("source_key"))
-    slots = slots.select("source_key", F.pmod(F.xxhash64(key, "slot", F.lit(0)), F.col("shards")).alias("shard"), "slot", F.floor(F.col("slot") / F.col("blocks")).alias("epoch"), permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
+    slots = _settled(shard_counts(goal, seed), goal)
+    slots = slots.select("source_key", "shard", "slot", F.floor(F.col("slot") / F.col("blocks")).alias("epoch"), permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
     return texts, slots, segments
 
 

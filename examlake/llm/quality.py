@@ -10,7 +10,8 @@ The model is fitted on at most ``SAMPLE`` labelled texts, chosen by a hash of th
 scored, whole. Training is deterministic.
 
 Defined results: a null or empty text has no features and is rejected; repeated rows give repeated rows; labels with
-a null count as missing; without any label there is no model and everything with words is kept; extra columns stay.
+a null count as missing; without any label there is no model and everything with words is kept; columns named
+expected_grade and p_good are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.shared import slices, smallest, text_of
+from examlake.llm.shared import slices, smallest, text_of, with_results
 from examlake.llm.words import NON_SPACE, _span_hashes, mixed, words
 
 SAMPLE, BITS, STEPS, KEEP = 12_000, 18, 300, 0.8
@@ -140,10 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col: str = "text", bits: int = BITS) -> DataFrame:
     """``docs`` with expected_grade and p_good (null for a text without words, or without a model)."""
+    docs, schema = with_results(docs, "expected_grade double, p_good double")
     if model is None:
         return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "p_good": F.lit(None).cast("double")})
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "expected_grade", "p_good"]
+    names = schema.names
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, cut = sent.value
@@ -154,8 +156,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col
             p1, p2 = (1 / (1 + np.exp(np.clip(c - eta, -40, 40))) for c in cut)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p1 + p2, mask=~some), pa.array(p2, mask=~some)], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{schema}, expected_grade double, p_good double")
+    return docs.mapInArrow(scan, schema)
 
 
 def keeps(p_good, text=None, model=True, threshold: float = KEEP):

@@ -11,16 +11,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one set in the session. Where there is none, a new one for a local master (tests); on a cluster that is an error."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get()
@@ -46,6 +49,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_results(df: DataFrame, results: str, without: str | None = None) -> tuple[DataFrame, StructType]:
+    """``df`` without columns that have a result's name, and the schema of its columns (less ``without``) and the results: a result replaces a column of its name."""
+    added = StructType.fromDDL(results)
+    df = df.drop(*added.names)
+    return df, StructType([*(f for f in df.schema.fields if f.name != without), *added.fields])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     """A string column without nulls (null: empty text)."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")

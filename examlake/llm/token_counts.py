@@ -2,10 +2,11 @@
 
 The vocabulary file (a parameter) names the normaliser and the splitting rule, which its library applies to a word;
 merging is done here. White space (20, 09-0D) always ends a piece, so texts are taken word by word and each task keeps
-the counts of the words it met, up to ``CACHE`` of them.
+the counts of the words it met, up to ``CACHE`` of them, none longer than ``LONGEST``: some 50 MB at any input.
 
 Defined results: null is the empty text, which has no tokens; strings of special tokens count as one each, as the
-library takes them by default; nothing is truncated or padded; repeated rows give repeated rows; extra columns stay.
+library takes them by default; nothing is truncated or padded; repeated rows give repeated rows; columns named n_bytes
+and n_tokens are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from examlake.llm.shared import slices, text_of
+from examlake.llm.shared import slices, text_of, with_results
 
-#: Words, and pieces of words, whose counts a task keeps at once.
-CACHE = 400_000
+#: Words, and pieces of words, whose counts a task keeps at once, and the length of the longest kept (bytes of words, characters of pieces).
+CACHE, LONGEST = 200_000, 64
 
 
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -51,16 +52,18 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 
 
 class _Counts(dict):
-    """Counts by key, computed when missing, forgotten when there are too many."""
+    """Counts by key, computed when missing, forgotten when there are too many; those of long keys are not kept."""
 
     def __init__(self, count):
         super().__init__()
         self.count = count
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = n = self.count(key)
+        n = self.count(key)
+        if len(key) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = n
         return n
 
 
@@ -103,15 +106,15 @@ def vocabulary(path: str) -> Vocabulary:
 
 def token_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with n_bytes and n_tokens. ``path``: the vocabulary file, which every executor has."""
-    keep = [c for c in docs.columns if c != text_col]
+    rows, schema = with_results(docs, "n_bytes long, n_tokens long", without=text_col)
+    keep = schema.names[:-2]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in slices(batches, text_col):
             texts = text_of(batch, text_col).cast(pa.binary())
             counts = [vocab.count(t.as_py()) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), batch.column(batch.num_columns - 1), pa.array(counts, pa.int64())], [*keep, "n_bytes", "n_tokens"])
+            size = pc.binary_length(texts).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), size, pa.array(counts, pa.int64())], schema.names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
-    sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
-    return sized.mapInArrow(scan, f"{schema}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(scan, schema)
