@@ -5,12 +5,13 @@ with some test bigram (no other can match two words), sorted by their words to `
 item is binary-searched in it; the range of equal suffixes gives all places of the window of ``window`` words.
 For the longest verbatim match of each document it is the other way round: the item suffixes are sorted by all their words,
 and each suffix of the shard is binary-searched among them, whose neighbours then hold the longest match of that place.
-The items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, so a benchmark of any size fits; documents are
-never shuffled.
+The items are broadcast in blocks of about ``BLOCK_BYTES`` of text at most, one after the other: what a block found is written
+before the next one is read, so driver and tasks hold one block at a time. Documents are never shuffled.
 
 Defined results: a null text or item has no words; an item of fewer words than a window is one window; an item
-without words matches nothing; equal item ids count once; repeated rows give repeated rows; an empty benchmark
-contaminates nothing; extra columns stay. The longest match may be of one word; of equal lengths the earliest in the
+without words matches nothing; equal item ids count once; an item of a null id hits words, but is not listed in items;
+repeated rows give repeated rows; an empty benchmark contaminates nothing; columns that have a result's name (n_words,
+n_hit, spans, items, longest) are replaced, other columns stay. The longest match may be of one word; of equal lengths the earliest in the
 document counts, then the least item id as a string (null last) and the earliest place in it.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlake.llm.shared import slices, text_of
+from examlake.llm.shared import dropped, fresh, slices, text_of, with_results, written
 from examlake.llm.words import ALNUM, mixed, words
 
 #: Bytes of item texts that one broadcast holds, and items that one collect returns.
@@ -170,8 +171,8 @@ def _better(match: dict) -> tuple:
 
 
 def _block(docs: DataFrame, text_col: str, block) -> DataFrame:
-    """Adds the findings for one block of items to those in column _found."""
-    names = [*docs.columns[:-1], "_found"]
+    """Adds the findings for one block of items to those in the last column."""
+    names = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: _Items = block.value
@@ -211,8 +212,7 @@ def _block(docs: DataFrame, text_col: str, block) -> DataFrame:
             kinds = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("longest", pa.struct([("item_id", pa.string()), ("length", pa.int32()), ("item_start", pa.int32()), ("doc_start", pa.int32())]))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kinds)], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(scan, f"{schema}, _found {FOUND}")
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
@@ -221,12 +221,21 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     items = items.select(F.col(item_id).alias("id"), F.col(item_text).cast("string").alias("text")).filter(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    out = docs.withColumn("_found", F.lit(None).cast(FOUND))
-    for k in range(blocks):  # each block is bounded by its number of bytes, and blocks follow one another
+    docs, _ = with_results(docs, f"n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, longest {MATCH}")
+    column = fresh(docs, "found")
+    out = docs.withColumn(column, F.lit(None).cast(FOUND))
+    for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id").collect()
-        out = _block(out, text_col, spark.sparkContext.broadcast(_Items([r["id"] for r in rows], [r["text"] for r in rows], window)))
-    hit = F.aggregate("_found.spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return out.select(*docs.columns, F.col("_found.n_words").alias("n_words"), hit.alias("n_hit"), F.col("_found.spans").alias("spans"), F.col("_found.items").alias("items"), F.col("_found.longest").alias("longest"))
+        sent = spark.sparkContext.broadcast(_Items([r["id"] for r in rows], [r["text"] for r in rows], window))
+        before, out = out, _block(out, text_col, sent)
+        if k + 1 < blocks:
+            out = written(out)
+            sent.destroy()
+            if k:
+                dropped(before)
+    of = lambda name: F.col(f"{column}.{name}").alias(name)
+    hit = F.aggregate(F.col(f"{column}.spans"), F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select(*docs.columns, of("n_words"), hit.alias("n_hit"), of("spans"), of("items"), of("longest"))
 
 
 def contaminated(n_hit, n_words):

@@ -1,8 +1,8 @@
 """Main text of web pages: the contiguous region of the largest score, words positive and tags negative.
 
 A page is a run of tags and texts. Each word scores +1, each tag its weight, which is below zero always; the region with the
-largest sum is found in one pass. Words in containers that are never content (menus, forms, asides, scripts, comments and the
-like) do not count, and are left out of the region. Weights are learned by an averaged, projected structured perceptron on labelled pages: pages
+largest sum is found in one pass. Containers that are never content (menus, forms, asides, scripts, comments and the like)
+count nothing and are left out of the region. Weights are learned by an averaged, projected structured perceptron on labelled pages: pages
 that mark their content themselves (one <article> or one <main>). Up to ``SAMPLE`` of them, by a hash of their text, are
 used, a documented bound; tags that never occurred there weigh ``UNSEEN``.
 
@@ -139,8 +139,9 @@ def skipped(page: list[Part]) -> list[bool]:
         while len(stack) > depth:
             name, begin, never = stack.pop()
             open_at[name].pop()
-            if never and (name in _ENDED_BY or (name == by and len(stack) == depth)):
-                found.append((begin, i))
+            own = name == by and len(stack) == depth
+            if never and (own or name in _ENDED_BY):
+                found.append((begin, i + own))
             elif never:
                 loose.append(begin)
 
@@ -178,8 +179,8 @@ def skipped(page: list[Part]) -> list[bool]:
 
 
 def features(page: list[Part], never: list[bool]) -> list[tuple[str, int]]:
-    """For each part its tag feature ("" for texts) and its words, of which those that are never content do not count."""
-    return [("", 0 if out else len(v.split())) if kind == "text" else (("/" if kind == "close" else "") + name + (f".{v.split()[0].lower()}" if v.split() else ""), 0) for (kind, name, v), out in zip(page, never, strict=True)]
+    """For each part its tag feature ("" for texts) and its words; what is never content counts neither for nor against a region."""
+    return [("", 0 if out else len(v.split())) if out or kind == "text" else (("/" if kind == "close" else "") + name + (f".{v.split()[0].lower()}" if v.split() else ""), 0) for (kind, name, v), out in zip(page, never, strict=True)]
 
 
 def best_region(scored: list[float]) -> tuple[int, int]:

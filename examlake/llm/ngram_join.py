@@ -1,7 +1,8 @@
 """Jaccard join of word n-gram sets, size-aware: small sets by enumerated subsets, large sets by inverted lists.
 
 1. One scan gives every text's set size and set digest, and a fixed-size table of shingle counts (a sketch).
-   Texts with equal sets are one class; only the class's smallest id goes on.
+   Texts with equal sets are one class, of which the smallest id stands for all. Copies of classes that hold more than
+   1 / ``HEAVY`` of all texts emit nothing below (there are fewer than ``HEAVY`` such classes); other classes are small.
 2. Two sets of n and m shingles link when they share c(n, m) = ceil(t (n + m) / (1 + t)) of them. Sets of up to
    ``boundary`` shingles emit all their subsets of each size c that some partner can ask for: two sets link exactly
    if they share a subset of size c(n, m). In each list the set of the smallest size links with all that link at all.
@@ -9,6 +10,8 @@
    (shingles that the sketch finds frequent come last), where l(n) = 1 + n / 16. Sets that link share l of the smaller
    one's lists at least, so they share l / 2 short lists (up to ``SHORT`` sets) or l / 2 long ones. Short lists give their
    pairs, which are counted; a long list joins the sets in it that stand in l / 2 long lists at all, by runs of sizes.
+   Lists of shingles that the sketch finds in very many texts are long ones without being counted; what long lists and
+   subsets need of a list are minima by size, aggregated before the shuffle and joined back over ``SALT`` keys.
    Sets joined in one of these ways form a cluster; clusters are cut in blocks by size and hash, and each pair of blocks
    whose sizes fit is one task that scans the inverted lists of its shingles and counts overlaps exactly.
 4. The boundary is where rows enumerated and rows scanned cost least, from the counts of sets by size.
@@ -42,6 +45,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_500_000
 LARGEST_SMALL = 16
 #: Sets of a list whose pairs are counted.
 SHORT = 16
+#: The largest number of classes whose copies are told apart, what a slot must hold beyond twice the mean to be no list in one task, and keys of one joined list.
+HEAVY, HOT, SALT = 65_536, 20_000, 16
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,17 +66,22 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return h, text, np.bincount(text, minlength=len(texts))
 
 
+def _digest(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each text's whole set."""
+    ends = np.cumsum(n)
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(s)), dtype=np.uint64)]) for s in (1, 2)]
+    return [(s[ends] - s[ends - n]).view(np.int64) for s in sums]
+
+
 def _digests(docs: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in slices(batches, "text"):
             h, text, n = shingle_sets(text_of(batch, "text"), k)
             counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
-            ends = np.cumsum(n)
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(s)), dtype=np.uint64)]) for s in (1, 2)]
-            d1, d2 = (s[ends] - s[ends - n] for s in sums)
+            d1, d2 = _digest(h, n)
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         full = [i for i in range(SLOTS // ROW) if counts[i * ROW : (i + 1) * ROW].any()]
         none = pa.nulls(len(full), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full, pa.int32()), pa.array([counts[i * ROW : (i + 1) * ROW].tobytes() for i in full], pa.binary())], names)
@@ -80,8 +90,8 @@ def _digests(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(scan, "id long, n long, d1 long, d2 long, slots int, counts binary")
 
 
-def _frequent(scan: DataFrame) -> np.ndarray:
-    """For each slot of the sketch, whether it holds clearly more than a mean slot: SLOTS bits at any input size."""
+def _frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot of the sketch, whether it holds clearly more than a mean slot, and whether very much more: twice SLOTS bits at any input size."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -95,7 +105,28 @@ def _frequent(scan: DataFrame) -> np.ndarray:
     for at, part in rows.collect():  # SLOTS / ROW rows of 32 KB: the sketch, 8 MB
         counts[at * ROW : (at + 1) * ROW] = np.frombuffer(bytes(part), np.int64)
     mean = counts.mean()
-    return np.packbits(counts > mean + 8 * np.sqrt(mean) + 8)
+    return np.packbits(counts > mean + 8 * np.sqrt(mean) + 8), np.packbits(counts > 2 * mean + HOT)
+
+
+def _heavy(classes: DataFrame) -> tuple[np.ndarray, ...]:
+    """n, both digests and the representative of classes of more than 1 / HEAVY of all texts, by the first digest."""
+    texts = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    rows = classes.filter(F.col("copies") > max(1, texts / HEAVY)).select("d1", "d2", "n", "rep").collect()  # fewer than HEAVY
+    d1, d2, n, rep = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+    order = np.argsort(d1, kind="stable")
+    return d1[order], d2[order], n[order], rep[order]
+
+
+def _is_copy(h: np.ndarray, n: np.ndarray, ids: np.ndarray, heavy: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which texts have a heavy class's set and are not its representative."""
+    out = np.zeros(len(n), bool)
+    if len(heavy[0]):
+        d1, d2 = _digest(h, n)
+        at = np.searchsorted(heavy[0], d1)
+        for step in range(2):  # digests that agree by half stand side by side; three do not occur
+            k = np.minimum(at + step, len(heavy[0]) - 1)
+            out |= (heavy[0][k] == d1) & (heavy[1][k] == d2) & (heavy[2][k] == n) & (heavy[3][k] != ids)
+    return out
 
 
 class Threshold:
@@ -126,13 +157,15 @@ class Threshold:
         return min(range(LARGEST_SMALL + 1), key=lambda b: (cost(b), b))
 
 
-def _lists(docs: DataFrame, k: int, t: Threshold, small: int, frequent) -> DataFrame:
-    """Rows (size, key, id, n): subsets of ``size`` shingles of small sets; with size 0, prefix shingles of large ones (and of small ones that a large one may link with)."""
+def _lists(docs: DataFrame, k: int, t: Threshold, small: int, frequent, heavy) -> DataFrame:
+    """Rows (size, key, id, n, hot): subsets of ``size`` shingles of small sets; with size 0, prefix shingles of large ones (and of small ones that a large one may link with)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(frequent.value).astype(bool)
+        late, very = (np.unpackbits(x).astype(bool) for x in frequent.value)
         for batch in slices(batches, "text"):
             h, text, n = shingle_sets(text_of(batch, "text"), k)
+            copy = _is_copy(h, n, batch.column(0).to_numpy(), heavy.value)
+            h, text, n = h[~copy[text]], text[~copy[text]], np.where(copy, 0, n)
             order = np.lexsort((h, late[(h >> np.uint64(44)).astype(np.int64)], text))
             h, text = h[order], text[order]
             first = np.cumsum(n) - n
@@ -140,6 +173,7 @@ def _lists(docs: DataFrame, k: int, t: Threshold, small: int, frequent) -> DataF
             least = -(-t.num * n // t.den)
             taken = (place < (n - least + 1 + n // 16)[text]) & (n >= t.least(small + 1))[text]
             size, key, of = [np.zeros(int(taken.sum()), np.int32)], [h[taken]], [text[taken]]
+            hot = very[(h[taken] >> np.uint64(44)).astype(np.int64)]
             for i in np.flatnonzero((n > 0) & (n <= small)):
                 own = [int(x) for x in mixed(h[first[i] : first[i] + n[i]])]
                 for c in range(int(least[i]), int(n[i]) + 1):
@@ -147,9 +181,10 @@ def _lists(docs: DataFrame, k: int, t: Threshold, small: int, frequent) -> DataF
                     size.append(np.full(len(keys), c, np.int32)), key.append(keys), of.append(np.full(len(keys), i))
             of = np.concatenate(of)
             ids = batch.column(0).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(size)), pa.array(np.concatenate(key).view(np.int64)), ids, pa.array(n[of].astype(np.int64))], ["size", "key", "id", "n"])
+            hot = np.concatenate([hot, np.zeros(len(of) - len(hot), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(size)), pa.array(np.concatenate(key).view(np.int64)), ids, pa.array(n[of].astype(np.int64)), pa.array(hot)], ["size", "key", "id", "n", "hot"])
 
-    return docs.filter(F.col("id").isNotNull()).mapInArrow(scan, "size int, key long, id long, n long")
+    return docs.filter(F.col("id").isNotNull()).mapInArrow(scan, "size int, key long, id long, n long, hot boolean")
 
 
 def _short(lists: DataFrame, t: Threshold) -> DataFrame:
@@ -161,16 +196,23 @@ def _short(lists: DataFrame, t: Threshold) -> DataFrame:
     return counted.filter(F.col("count") >= t.half_shared(F.col("n"))).select("a", "b")
 
 
+def _salted(rows: DataFrame, least: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``least``, which has one row for each ``by``, so that many rows of one ``by`` are several keys."""
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(copies, [*by, "salt"]).drop("salt")
+
+
 def _long(lists: DataFrame, t: Threshold) -> DataFrame:
-    """Edges that join the sets of a long list, in order of size up to the first that is too large for the one before."""
+    """Edges that join the sets of a long list, in order of size up to the first that is too large for the one before. Only the sizes of a list are put in order."""
     least = F.ceil(F.col("n") * t.num / t.den)
     enough = lists.groupBy("id", "n").count().filter(F.col("count") >= t.half_shared(least)).select("id")
-    by_size = Window.partitionBy("key").orderBy("n", "id")
-    before = F.lag("n").over(by_size)
-    begins = F.coalesce(t.den * before < t.num * F.col("n"), F.lit(True))
-    runs = lists.join(enough, "id", "left_semi").withColumn("begins", begins)
-    hub = F.last(F.when(F.col("begins"), F.col("id")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
-    return runs.select(F.col("id").alias("a"), hub.alias("b")).filter(F.col("a") != F.col("b")).distinct()
+    runs = written(lists.join(enough, "id", "left_semi").select("key", "id", "n"))
+    sizes = runs.groupBy("key", "n").agg(F.min("id").alias("least"))
+    by_size = Window.partitionBy("key").orderBy("n")
+    begins = F.coalesce(t.den * F.lag("n").over(by_size) < t.num * F.col("n"), F.lit(True))
+    hub = F.last(F.when(F.col("begins"), F.col("least")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    hubs = sizes.withColumn("begins", begins).select("key", "n", hub.alias("b"))
+    return _salted(runs, hubs, ["key", "n"]).select(F.col("id").alias("a"), "b").filter(F.col("a") != F.col("b")).distinct()
 
 
 def _linked(t: Threshold, k: int):
@@ -242,17 +284,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = written(_digests(docs, k))
     sets = scan.filter(F.col("slots").isNull()).select("id", "n", "d1", "d2")
-    classes = written(sets.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
+    classes = written(sets.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     sizes = {r["n"]: r["k"] for r in classes.groupBy(F.least("n", F.lit(2 * LARGEST_SMALL)).alias("n")).agg(F.count("*").alias("k")).collect()}
     small = t.boundary(sizes)
 
-    key = Window.partitionBy("size", "key")
-    postings = _lists(docs, k, t, small, spark.sparkContext.broadcast(_frequent(scan)))
-    lists = written(postings.withColumn("sets", F.count("*").over(key)).filter("sets > 1"))
-    by_size = key.orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
+    postings = _lists(docs, k, t, small, spark.sparkContext.broadcast(_frequent(scan)), spark.sparkContext.broadcast(_heavy(classes)))
+    sets_of = F.when(F.col("hot"), SHORT + 1).otherwise(F.count("*").over(Window.partitionBy("size", "key", F.when(F.col("hot"), F.col("id")))))
+    lists = written(postings.withColumn("sets", sets_of).filter("sets > 1").drop("hot"))
 
-    subsets = lists.filter("size > 0").withColumn("hub_n", F.first("n").over(by_size)).withColumn("hub", F.first("id").over(by_size))
-    of_small = subsets.filter((F.col("hub") != F.col("id")) & ((num + den) * F.col("size") >= num * (F.col("n") + F.col("hub_n")))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    subsets = lists.filter("size > 0")
+    hubs = subsets.groupBy("size", "key").agg(F.min(F.struct("n", "id")).alias("hub"))
+    joined = _salted(subsets, hubs, ["size", "key"])
+    of_small = joined.filter((F.col("hub.id") != F.col("id")) & ((num + den) * F.col("size") >= num * (F.col("n") + F.col("hub.n")))).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
 
     near = written(_short(lists.filter((F.col("size") == 0) & (F.col("sets") <= SHORT)), t).unionAll(_long(lists.filter((F.col("size") == 0) & (F.col("sets") > SHORT)), t)))
     reps = classes.select(F.col("rep").alias("id"), "n")

@@ -6,8 +6,9 @@ grade is the sum of these. A text is kept when P(grade >= 2) reaches ``KEEP``.
 
 Features are hashed: words in lower case, their beginnings (six bytes), their shapes (letters a or A, digits 0, runs shortened)
 and repeated neighbours. Each family is the square root of its relative counts, so long and short texts weigh alike.
-The model is fitted on at most ``SAMPLE`` labelled texts, chosen by a hash of their id, a documented bound; all texts are
-scored, whole. Training is deterministic.
+The model is fitted on at most ``SAMPLE`` labelled texts, chosen by a hash of their id, none of more than ``LONGEST`` words and
+no more than ``MOST_WORDS`` words together, documented bounds of the one task that fits it; all texts are scored, whole.
+Training is deterministic.
 
 Defined results: a null or empty text has no features and is rejected; repeated rows give repeated rows; labels with
 a null count as missing; without any label there is no model and everything with words is kept; columns named
@@ -21,13 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from examlake.llm.shared import slices, smallest, text_of, with_results
+from examlake.llm.shared import slices, smallest, text_of, with_results, written
 from examlake.llm.words import NON_SPACE, _span_hashes, mixed, words
 
 SAMPLE, BITS, STEPS, KEEP = 12_000, 18, 300, 0.8
+#: Words of the longest text that is learned from, and of all.
+LONGEST, MOST_WORDS = 100_000, 10_000_000
 #: Texts that a feature must stand in to get a weight, and how the weights are fitted.
 LEAST, RIDGE, RATE = 4, 1e-5, 2.0
 #: What a word's beginning takes, in bytes.
@@ -82,11 +85,26 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray,
     return t[order], f[order], v[order]
 
 
+def likelihood(x: np.ndarray, theta: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean weighted loss -log(P(>= grade) - P(> grade)) with its ridge, and its gradients by weights ``x`` and by ``theta``: the first threshold and the log of the gap to the second, so they stay in order."""
+    n, at = len(grade), np.arange(len(grade))
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    eta = np.bincount(row, x[column] * value, n)
+    cut = np.array([theta[0], theta[0] + np.exp(theta[1])])
+    above = np.stack([np.ones(n), sigmoid(eta - cut[0]), sigmoid(eta - cut[1]), np.zeros(n)])
+    slope = above * (1 - above)
+    p = np.maximum(above[grade, at] - above[grade + 1, at], 1e-9)
+    d_eta = weight * (slope[grade + 1, at] - slope[grade, at]) / p / n
+    d_cut = np.array([np.sum(weight * (np.where(grade == j, slope[j, at], 0) - np.where(grade == j - 1, slope[j, at], 0)) / p) / n for j in (1, 2)])
+    loss = -np.sum(weight * np.log(p)) / n + ridge / 2 * np.sum(x**2)
+    return loss, np.bincount(column, d_eta[row] * value, len(x)) + ridge * x, np.array([d_cut.sum(), d_cut[1] * np.exp(theta[1])])
+
+
 def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, bits: int = BITS, steps: int = STEPS, ridge: float = RIDGE, rate: float = RATE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by accelerated gradient descent on all rows, which learns what many texts share before what few do. The gradient is that of the likelihood of P(>= k) - P(>= k + 1), grades weighted alike."""
+    """Weights and thresholds by accelerated gradient descent on all rows, which learns what many texts share before what few do; grades are weighted alike."""
     k = 2
     n, w = len(grade), np.zeros(1 << bits)
-    theta = np.array([-1.0, np.log(2.0)])  # first threshold, log of the gap: the thresholds stay in order
+    theta = np.array([-1.0, np.log(2.0)])
     # a feature of few texts says nothing about others
     texts = np.bincount(feature, minlength=1 << bits)[feature]
     row, feature, value = (x[texts >= least] for x in (row, feature, value))
@@ -95,20 +113,10 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarr
     x_before, theta_before = x, theta
     share = np.bincount(grade, minlength=k + 1)
     weight = (n / (np.count_nonzero(share) * np.maximum(share, 1)))[grade] ** 0.5
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
         ahead = (step - 1) / (step + 2)
         y, z = x + ahead * (x - x_before), theta + ahead * (theta - theta_before)
-        eta = np.bincount(row, y[column] * value, n)
-        cut = np.array([z[0], z[0] + np.exp(z[1])])
-        above = np.stack([np.ones(n), sigmoid(eta - cut[0]), sigmoid(eta - cut[1]), np.zeros(n)])
-        slope = above * (1 - above)
-        at = np.arange(n)
-        p = np.maximum(above[grade, at] - above[grade + 1, at], 1e-9)
-        d_eta = weight * (slope[grade + 1, at] - slope[grade, at]) / p / n
-        d_cut = np.array([np.sum(weight * (np.where(grade == j, slope[j, at], 0) - np.where(grade == j - 1, slope[j, at], 0)) / p) / n for j in (1, 2)])
-        g = np.bincount(column, d_eta[row] * value, len(used)) + ridge * y
-        gt = np.array([d_cut.sum(), d_cut[1] * np.exp(z[1])])
+        _, g, gt = likelihood(y, z, row, column, value, grade, weight, ridge)
         x_before, theta_before = x, theta
         x, theta = y - rate * g, np.array([z[0] - 0.05 * rate * gt[0], max(z[1] - 0.05 * rate * gt[1], -1.0)])
     w[used] = x
@@ -121,6 +129,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rated = labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
     rated = smallest(rated.groupBy(F.col(id_col).alias("id")).agg(F.min(grade).alias("grade")).withColumn("at", F.xxhash64("id")), "at", sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rated), "id")  # at most `sample` rows of three numbers
+    texts = written(texts)
+    # at most `sample` ids: their sizes are put in order in one task
+    sized = texts.groupBy("id", "at").agg(F.max(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).filter(F.col("words") <= LONGEST)
+    so_far = F.sum("words").over(Window.partitionBy(F.lit(0)).orderBy("at", "id"))
+    few = sized.withColumn("so_far", so_far).filter(F.col("so_far") <= MOST_WORDS).select("id")
+    texts = texts.join(F.broadcast(few), "id", "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

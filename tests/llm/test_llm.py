@@ -24,7 +24,8 @@ ODD = [(1, None, None), (2, "", "a"), (3, "  \n", "a"), (4, "one two", None), (4
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, ties, repeated rows, and extra columns whose names the operators use inside."""
-    return spark.createDataFrame(ODD, "doc_id long, text string, source string").withColumns({"n": F.lit(1), "row": F.lit("r"), "id": F.lit(0), "starts": F.lit(2)})
+    names = "n row id starts N_Bytes n_tokens secrets licenses expected_grade p_good n_words n_hit spans items longest found plain _plain size target taken shard slot key dim anchor hot salt kept removed"
+    return spark.createDataFrame(ODD, "doc_id long, text string, source string").withColumns({c: F.lit(i) for i, c in enumerate(names.split())})
 
 
 def documents(spark):
@@ -49,9 +50,21 @@ def test_token_counts(spark, odd):
         rows = df.select("doc_id", "text").collect()
         want = sorted((r["doc_id"] or -1, len((r["text"] or "").encode()), len(known.encode(r["text"] or "", add_special_tokens=False))) for r in rows)
         assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(df.select("doc_id", "text"), path).collect()) == want
+    clashing = token_counts.token_counts(odd, path)
+    assert sorted(clashing.columns) == sorted({*odd.columns, "n_bytes"} - {"text", "N_Bytes"}) and {r["n_bytes"] for r in clashing.filter("doc_id = 5").collect()} == {7}
     assert token_counts.token_counts(odd.filter("false"), path).count() == 0
 
 
+def test_token_cache_is_bounded_by_bytes():
+    vocab = token_counts.Vocabulary(public_tokenizers.path(queries.VOCABULARY))
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY))
+    long = "abc" * 30_000
+    assert vocab.count(f"{long} short {long}".encode()) == len(known.encode(f"{long} short {long}", add_special_tokens=False))
+    assert all(len(k) <= token_counts.LONGEST for cache in (vocab.words, vocab.pieces) for k in cache) and b"short" in vocab.words
+
+
 def brute_groups(rows):
     sets, root = [], list(range(len(rows)))
     for _, text in rows:
@@ -92,6 +105,16 @@ def test_ngram_join(spark, odd, case):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1) for r in got) == brute_groups([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_ngram_join_with_copies_and_hot_shingles(spark, monkeypatch):
+    """Classes with many copies emit one set, and lists of very frequent shingles are not counted."""
+    rows = near_copies(100, 7)
+    rows += [(1000 + i, rows[3][1].upper()) for i in range(60)] + [(2000 + i, f"{' '.join(f'c{k}' for k in range(30))} d{i % 20} e{i % 7}") for i in range(60)]
+    monkeypatch.setattr(ngram_join, "HEAVY", 40)
+    monkeypatch.setattr(ngram_join, "HOT", 10)
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((max(k, 0), n, max(c, 0)) for k, n, c in brute_groups(rows))
+
+
 def test_ngram_join_blocks(spark, monkeypatch):
     """The same in small blocks, with long lists and with subsets of larger sets."""
     rows = near_copies(120, 5)
@@ -115,6 +138,44 @@ def test_quality_held_out(spark, odd):
     assert quality.score(odd.filter("false"), model).count() == 0
 
 
+def test_quality_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    row, column, value = np.repeat(np.arange(20), 3), rng.integers(0, 8, 60), rng.random(60)
+    grade, weight, x, theta = rng.integers(0, 3, 20), rng.random(20) + 0.5, rng.standard_normal(8), np.array([-0.3, 0.2])
+    loss = lambda x, theta: quality.likelihood(x, theta, row, column, value, grade, weight, 0.1)
+    _, g, gt = loss(x, theta)
+    for i in range(8):
+        e = np.eye(8)[i] * 1e-6
+        assert abs((loss(x + e, theta)[0] - loss(x - e, theta)[0]) / 2e-6 - g[i]) < 1e-6
+    for i in range(2):
+        e = np.eye(2)[i] * 1e-6
+        assert abs((loss(x, theta + e)[0] - loss(x, theta - e)[0]) / 2e-6 - gt[i]) < 1e-6
+
+
+def test_quality_of_one_text_by_hand(spark):
+    """A score is the logistic function of the summed weights of the text's own features, less each threshold."""
+    import pyarrow as pa
+
+    w = np.random.default_rng(3).standard_normal(1 << quality.BITS).astype(np.float32)
+    texts = ["One two two THREE.", "ß é 12a", "x " * 5000]
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (w, np.array([-0.5, 0.7]))).orderBy("doc_id").collect()
+    for r, text in zip(got, texts, strict=True):
+        t, f, v = quality.features(pa.array([text]))
+        eta = sum(float(w[k]) * x for k, x in zip(f, v, strict=True))
+        p = [1 / (1 + np.exp(c - eta)) for c in (-0.5, 0.7)]
+        assert abs(r["expected_grade"] - sum(p)) < 1e-6 and abs(r["p_good"] - p[1]) < 1e-6
+
+
+def test_quality_fits_on_bounded_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "good words here " * (3 + i % 5) if i % 2 else "zz yy " * (3 + i % 7)) for i in range(60)] + [(99, "zz " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*range(60), 99]], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "LONGEST", 1000)
+    model = quality.train(docs, labels)
+    assert quality.score(docs, model).filter(quality.keeps(F.col("p_good")) != (F.col("doc_id") % 2 == 1)).filter("doc_id < 99").count() == 0
+    monkeypatch.setattr(quality, "MOST_WORDS", 1)
+    assert quality.train(docs, labels) is None
+
+
 def test_smallest_is_the_limit_of_the_sorted_rows(spark):
     hashed = spark.range(5000).withColumn("at", F.xxhash64("id"))
     for most in (1, 50, 4999, 9000):
@@ -169,6 +230,52 @@ def test_substring_dedup(spark, odd, monkeypatch, group):
     assert substring_dedup.without_repeats(odd.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("unit", [512, 3])
+def test_maximal_repeats(spark, monkeypatch, unit):
+    """Stretches, as long as can be, of windows whose first document is the same, against all windows; trees against all pairs of suffixes."""
+    monkeypatch.setattr(substring_dedup, "UNIT", unit)
+    rng = random.Random(4)
+    shared = [rng.choices("abcdef", k=25) for _ in range(3)]
+    rows = [(i, " ".join([*rng.choices("pq", k=rng.randrange(9)), *rng.choice(shared), *rng.choices("rst", k=rng.randrange(9)), *rng.choice(shared)[: rng.randrange(25)]])) for i in range(40)]
+    window, first = 10, {}
+    for k, text in rows:
+        w = words(text)
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i : i + window]), k)
+    want = set()
+    for k, text in rows:
+        w = words(text)
+        firsts = [first[tuple(w[i : i + window])] for i in range(len(w) - window + 1)]
+        i = 0
+        while i < len(firsts):
+            j = i
+            while j < len(firsts) and firsts[j] == firsts[i]:
+                j += 1
+            if firsts[i] < k:
+                want.add((k, firsts[i], i, j - 1 + window))
+            i = j
+    got = {tuple(r) for r in substring_dedup.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()}
+    whole = {k for k, f, i, _ in got if i is None}
+    assert {g for g in got if g[0] not in whole} == {x for x in want if x[0] not in whole} and len(got - {g for g in got if g[0] in whole}) > 10
+
+
+def test_suffix_tree_against_all_pairs():
+    rng = random.Random(5)
+    for depth in (1, 3, 6):
+        seqs = [[rng.randrange(3) for _ in range(rng.randrange(depth, 30))] for _ in range(8)]
+        tree = substring_dedup.SuffixTree(np.array([x for s in seqs for x in s], np.uint64), np.array([len(s) for s in seqs]), depth)
+        at = [(s, i) for s, q in enumerate(seqs) for i in range(len(q) - depth + 1)]
+        base = np.cumsum([0] + [len(s) for s in seqs])
+        starts, ids = np.array([base[s] + i for s, i in at]), np.array([s for s, _ in at])
+        order, node, deep = substring_dedup.deep_nodes(tree, starts, ids)
+        suffix = [seqs[at[k][0]][at[k][1] :] for k in order]
+        assert [s[:depth] for s in suffix] == sorted(s[:depth] for s in suffix)
+        common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        for m in range(node[-1] + 1):
+            own = [suffix[k] for k in np.flatnonzero(node == m)]
+            assert len({tuple(s[:depth]) for s in own}) == 1 and deep[m] == min(common(own[0], s) for s in own)
+
+
 def der(tag, body):
     n = len(body)
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
@@ -198,6 +305,52 @@ def test_secrets(spark, odd):
     assert [r["text"] for r in out.filter("doc_id = 1").collect()] == [None]
 
 
+def test_secret_structures():
+    number = lambda x: der(2, bytes([x] * 40))
+    deep = b""
+    for _ in range(300):
+        deep = der(0x30, deep)
+    rsa = der(0x30, der(2, b"\0") + b"".join(number(k) for k in range(1, 9)))
+    nested = der(0x30, der(2, b"\0") + b"".join(number(k) for k in range(1, 9)) + deep)
+    short = der(0x30, der(2, b"\0") + b"".join(number(k) for k in range(1, 8)) + der(2, b"\1" * 50)[:-3])
+    of = lambda text: [(secrets.KINDS[k], a, b) for a, k, b in secrets.spans_of(text.encode()) if k > 2]
+    b64 = lambda x: base64.b64encode(x).decode()
+    lines = lambda x, n: "\n".join(x[i : i + n] for i in range(0, len(x), n))
+    run, wide = b64(rsa), lines(b64(rsa), 64)
+    assert of(f"a {run} b") == [("key", 2, 2 + len(run))] and of(b64(nested)) == [("key", 0, len(b64(nested)))] and of(b64(short)) == []
+    assert of(f"see\n{wide}\nwords follow") == [("key", 4, 4 + len(wide))] and of(rsa.hex()) == [("key", 0, 2 * len(rsa))]
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{wide}\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", 0, len(pem)) in of(pem) and of(pem.replace("\n", "\\n")) == [("pem", 0, len(pem.replace("\n", "\\n")))]
+    assert ("pem", 32, 32 + len(pem)) in of("-----BEGIN RSA PRIVATE KEY-----\n" + pem) and of(pem.replace("END RSA", "END DSA"))[0][0] == "key"
+    token = ".".join(b64(x).rstrip("=") for x in (b'{"alg":"HS256"}', b'{"a":1}', b"sig"))
+    assert of(f"x{token} eyJ.eyJ {token}.more") == [("signed", 1, 1 + len(token)), ("signed", 10 + len(token), 10 + 2 * len(token))]
+
+
+def test_secret_base_spans_against_brute_force(spark):
+    """Every document, character by character: base kinds, planted keys among the texts, and the masked text."""
+    key = base64.b64encode(der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k] * 40)) for k in range(1, 9)))).decode()
+    docs = documents(spark).select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(f" é {key} x"))).otherwise(F.col("text")).alias("text"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    name = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
+    for r in secrets.find_secrets(docs).collect():
+        text, want = texts[r["doc_id"]], []
+        want += [(m.start(), 0, m.end()) for m in name.finditer(text) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        got = [(s["start"], secrets.KINDS.index(s["kind"]), s["end"]) for s in r["secrets"]]
+        assert [g for g in got if g[1] < 3] == sorted(want)
+        assert [text[a:b] for a, k, b in got if k == 4] == ([key] if r["doc_id"] % 5 == 0 else [])
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJ.", "-----BEGIN PRIVATE KEY-----", "-----BEGIN A", "token  ", "MII" + "A" * 60 + "\n", "0f", "AKIA", "a" * 39 + " "])
+def test_secret_scan_time_is_linear(piece):
+    import time
+
+    began = time.time()
+    secrets.spans_of((piece * (3_000_000 // len(piece))).encode())
+    assert time.time() - began < 20  # a quadratic pattern takes hours
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((60, 16))
@@ -221,12 +374,39 @@ def test_embedding_bounds_hold():
     rng = np.random.default_rng(5)
     base = rng.standard_normal((300, 64))
     x = np.concatenate([base, base + 0.3 * rng.standard_normal((300, 64))])
-    i, j, computed = embeddings.linked_pairs(x, 0.93)
+    i, j, computed = embeddings.linked_pairs(x, embeddings.Codes.of(x), 0.93)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = np.triu(unit @ unit.T >= 0.93, 1).sum()
     assert len(i) >= 0.98 * want and computed < 0.1 * len(x) ** 2
 
 
+def planted(n, dim, labels, seed):
+    """n vectors and n near ones at cosines from 0.931 on, and all true links."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, dim))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    cos = rng.choice([0.931, 0.94, 0.96, 0.99], n)
+    side = rng.standard_normal((n, dim))
+    side -= (side * unit).sum(1, keepdims=True) * unit
+    near = cos[:, None] * unit + np.sqrt(1 - cos**2)[:, None] * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([base, near * rng.uniform(0.5, 2, (n, 1))])
+    label = np.concatenate([np.arange(n) % labels] * 2)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    return x, label, link.sum(1)
+
+
+@pytest.mark.parametrize(("whole", "block", "least"), [(embeddings.WHOLE, embeddings.BLOCK, 1.0), (embeddings.WHOLE, 700, 1.0), (None, 4096, 1.0), (100, 700, 0.98)])
+def test_embedding_recall_on_planted_pairs(spark, monkeypatch, whole, block, least):
+    """10,000 vectors, 5,000 planted pairs: compared whole (one block or many) none is lost, by hash tables few are."""
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    x, label, n = planted(5000, 64, 2, 1)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": label.astype(np.int32)}))
+    got = embeddings.near_embeddings(df, whole=whole).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert (got <= n).all() and got.sum() >= least * n.sum()
+
+
 def test_licenses(spark, odd):
     rows = [(1, "a\nlicensed under the APACHE license version 2.0\nb"), (2, "Released under the MIT License."), (3, "licensed under something else entirely")]
     got = {r["doc_id"]: [(x["line"], x["license"]) for x in r["licenses"]] for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -261,11 +441,55 @@ def test_html(spark):
         assert got[r["page_id"]] == "\n".join(x for x in lines if x)
     page = "<nav><a>m</a></nav><div><p>one <b>two</b>&amp;\n three</p><form>f</form><aside>s s s</aside><script>var x='<p>'</script><p>four</p></div><div class=\"comments\"><p>c c c</p></div><footer>x</footer>"
     assert html.main_text(page, weight) == "one two& three\nfour"
-    odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>"), (4, "u", "<p>a b"), (4, "u", "<p>a b")], "page_id long, url string, html string")
+    odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>"), (4, "u", "<p>a b"), (4, "u", "<p>a b")], "page_id long, url string, html string").withColumn("Text", F.lit(1))
     assert sorted((r["page_id"], r["text"]) for r in html.extract(odd, weight).collect()) == [(1, ""), (2, ""), (3, ""), (4, "a b"), (4, "a b")]
     assert html.train(odd) == {} and html.extract(odd.filter("false"), weight).count() == 0
 
 
+TEXT = [f"one two three {k} five six" for k in range(4)]
+
+
+@pytest.mark.parametrize("page", [
+    "<div><nav><form><a>m</a></nav><p>{0}</p><p>{1}</div>",
+    '<div><p class="notice">x y<p>{0}<p>{1}</div>',
+    '<article><p class="notice">x y<p>{0}<p>{1}</article>',
+    '<article><div class="notice">x y<p>{0}</p><p>{1}</p></article>',
+    '<article><ul><li class="share">x<li>{0}<li>{1}</ul></article>',
+    "<article><table><tr><td class=sidebar>x<td>{0}<tr><td>{1}</table></article>",
+    "<form id=page><div><main><p>{0}</p><p>{1}</p></main></div></form>",
+    '<p title="a > b">{0}</p><p title=\'"\' >{1}</p>',
+    '<p class="x>{0}</p><p class="y">{1}</p>',
+    "<p>{0}</p><!-- never closed <p>{1}</p>",
+    "<title>t<p>{0}</p><p>{1}</p>",
+    "<section><aside><p>x</section><p>{0}</p></b></span></section><p>{1}</p>",
+    "<P CLASS='lead'>{0}</P >\n<P\n>{1}</P>",
+])
+def test_html_slips_lose_no_text(spark, page):
+    for weight in ({}, html.learned([r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()])):
+        got = html.main_text(page.format(*TEXT), weight).split("\n")
+        assert all(any(t in g for g in got) for t in TEXT[:2]) and len(got) <= 3
+
+
+def test_html_leaves_out_what_is_never_content():
+    page = "<nav><ul><li>a b<li>c</ul></nav><header><h2>h</h2></header><div><p>{0}</p><div class='ad'><div>x y z</div></div><aside>s</aside><form><p>f</p></form><script>var a='</p>'; if (1<2) {{}}</script><STYLE>p{{}}</STYLE><!-- <p>c</p> --><p>{1}</p><div id=comments><article><p>said</p></article><article><p>so</p></article></div></div><footer>x</footer>"
+    assert html.main_text(page.format(*TEXT), {}) == "\n".join(TEXT[:2])
+    assert html.main_text("<p>a &lt;b&gt; &amp;amp; c&nbsp;d</p> 1 < 2 <3", {}) == "a <b> &amp; c d\n1 < 2 <3"
+
+
+def test_html_weights_are_below_zero(spark):
+    weight = html.train(spark.read.parquet(f"{SF}/pages.parquet"))
+    assert weight and max(weight.values()) <= html.HIGHEST
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a ='", "<!--", "<title>", "<div><li>", "<x-y></div>", '<p class="', "<td><p></div>", '<a x="b>"c>', "<article>", "&amp;<b>"])
+def test_html_time_is_linear(piece):
+    import time
+
+    began = time.time()
+    html.main_text(piece * (2_000_000 // len(piece)), {})
+    assert time.time() - began < 20  # a quadratic scan takes hours
+
+
 def test_best_region_is_best():
     rng = random.Random(6)
     for _ in range(200):
@@ -306,6 +530,42 @@ def test_mixing(spark, odd):
     assert len(out) == len(ODD) and (out.taken <= 2 * out["size"]).all() and mixed(odd.filter("false")).count() == 0
 
 
+def test_shard_counts_are_multinomial(spark):
+    """Counts of 60 shards by source against their expected values: chi squared near its degrees of freedom, and never the same draw."""
+    slots = {"a": 200_000, "b": 150_000, "c": 100_000, "d": 41_500, "e": 20}
+    quotas = spark.createDataFrame(list(slots.items()), "source_key string, slots long")
+    rows = mixing.shard_counts(quotas).toPandas().pivot_table(index="shard", columns="source_key", values="drawn", fill_value=0)
+    assert rows.to_numpy().sum() == sum(slots.values()) and (rows.iloc[:-1].sum(axis=1) == mixing.SHARD).all()
+    share = np.array(list(slots.values())) / sum(slots.values())
+    expected = rows.sum(axis=1).to_numpy()[:, None] * share
+    chi = ((rows.to_numpy()[:, :4] - expected[:, :4]) ** 2 / expected[:, :4]).sum()
+    degrees = len(rows) * 3
+    assert abs(chi - degrees) < 5 * np.sqrt(2 * degrees) and rows["a"].nunique() > 30
+    other = mixing.shard_counts(quotas, seed=2).toPandas().pivot_table(index="shard", columns="source_key", values="drawn", fill_value=0)
+    assert (other["a"] != rows["a"]).mean() > 0.9
+
+
+def test_slots_follow_the_shard_counts(spark, monkeypatch):
+    """Slots are numbered by shard from the drawn counts; what is drawn beyond a quota goes to others, so each number of a quota occurs once."""
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    monkeypatch.setattr(mixing, "SHARDS", 4)
+    quotas = spark.createDataFrame([("a", 50, 900), ("b", 10, 300), ("c", 7, 7), ("d", 1, 0)], "source_key string, blocks long, slots long")
+    counts = mixing.shard_counts(quotas)
+    rows = mixing._settled(counts, quotas).toPandas()
+    for s, q in (("a", 900), ("b", 300), ("c", 7)):
+        assert sorted(rows[rows.source_key == s]["slot"]) == list(range(q))
+    drawn = counts.toPandas().set_index(["shard", "source_key"])["drawn"]
+    own = rows.groupby(["shard", "source_key"]).size()
+    first = rows.groupby(["shard", "source_key"])["slot"].min()
+    total = drawn.groupby("source_key").sum()
+    for s in ("a", "b"):
+        d = drawn.xs(s, level="source_key").sort_index()
+        starts = d.cumsum() - d
+        if total[s] > quotas.filter(F.col("source_key") == s).first()["slots"]:
+            assert all(first[h, s] == starts[h] for h in d.index if starts[h] + d[h] <= total[s] and (h, s) in first.index and own[h, s] == d[h])
+    assert (rows.groupby("shard").size() == drawn.groupby("shard").sum()).all()
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         p = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5).cast("long")).alias("p"))
