@@ -113,7 +113,9 @@ def _settled(counts: DataFrame, quotas: DataFrame) -> DataFrame:
     of = sums.select("source_key", "blocks", "slots", "drawn", lack.alias("lack"), F.coalesce(F.sum(over).over(in_order), F.lit(0)).alias("over_from"), F.coalesce(F.sum(lack).over(in_order), F.lit(0)).alias("lack_from"))
     of = written(of)
     run = lambda low, high: F.explode(F.sequence(low, high - 1))
+    total = numbered.agg(F.coalesce(F.sum("drawn"), F.lit(0))).first()[0]
     runs = numbered.join(of.select("source_key", "blocks", "slots", "over_from"), "source_key").withColumn("end", F.col("first") + F.col("drawn"))
+    runs = runs.repartition(max(1, -(-total // (8 * SHARD))), "shard", "source_key")  # few rows here are many slots
     kept = runs.filter(F.col("first") < F.col("slots")).select("shard", "source_key", "blocks", run(F.col("first"), F.least("end", "slots")).alias("slot"))
     beyond = runs.filter(F.col("end") > F.col("slots")).select("shard", (F.col("over_from") - F.col("slots") + F.col("first")).alias("shift"), F.greatest(F.lit(0).cast("long"), F.col("slots") - F.col("first")).alias("skip"), "drawn")
     beyond = beyond.select("shard", "shift", run(F.col("skip"), F.col("drawn")).alias("i")).select("shard", (F.col("shift") + F.col("i")).alias("number"))
