@@ -49,6 +49,26 @@ def assembled(items: DataFrame, title: Column) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "x.kind", "x.level", "x.text")
 
 
+def variant_items(variants: DataFrame) -> DataFrame:
+    """Variants (doc_id, no, mode, text, label) as items for ``assembled``: a heading of number and kind, the problem's section in front, other exported sections as the answer; blank sections are left out."""
+    found = F.filter(M.sections(F.col("text")), lambda s: (T.stripped(s["body"]) != "") & ~s["title"].isin(*M.NOT_EXPORTED))
+    front = F.transform(F.filter(found, lambda s: s["title"] == M.PROBLEM), lambda s: _block("text", None, s["body"]))
+    back = F.flatten(F.transform(F.filter(found, lambda s: s["title"] != M.PROBLEM), lambda s: F.array(_block("heading", F.lit(3), s["title"]), _block("text", None, s["body"]))))
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in M.VARIANT_KINDS.items() for x in pair)), F.col("mode")), F.col("mode"))
+    heading = F.concat(T.display_no(F.col("no"), F.col("label")), F.lit(" · "), kind)
+    rank = F.array_position(F.array(*map(F.lit, M.VARIANT_KINDS)), F.col("mode"))
+    item = F.col("no").cast("long") * 10 + F.when(rank > 0, rank).otherwise(9)
+    return variants.select("doc_id", item.alias("item"), heading.alias("heading"), front.alias("body"), back.alias("answer"))
+
+
+def note_document_items(items: DataFrame) -> DataFrame:
+    """Note items (doc_id, item, source_name, no, label, as_text, transcript, has_crop, memo, solution) as items for ``assembled``: the snapshots that were taken, the memo behind the problem, the solution as the answer."""
+    heading = F.concat_ws(" ", F.regexp_replace("source_name", r"(?i)\.pdf$", ""), T.display_no(F.col("no"), F.col("label")))
+    memo = F.when(T.stripped(F.coalesce("memo", F.lit(""))) != "", F.array(_block("text", None, F.concat(F.lit(M.MEMO), T.stripped(F.col("memo")))))).otherwise(F.expr(f"cast(array() as array<{BLOCK}>)"))
+    body = F.concat(item_body(F.col("as_text"), F.col("transcript"), F.col("has_crop")), memo)
+    return items.select("doc_id", "item", heading.alias("heading"), body.alias("body"), solution_blocks(F.col("solution")).alias("answer"))
+
+
 def item_spans(blocks: DataFrame) -> DataFrame:
     """item_no of each block: an item runs from a level-2 heading to the next heading of level 1 or 2, or page break; null outside items."""
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

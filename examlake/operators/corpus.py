@@ -17,14 +17,18 @@ def hashed(problems: DataFrame, text: str = "raw_text", image: str | None = None
 def deduplicated(problems: DataFrame, order: list[str], stored: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """Problems with is_stored: the first of its hash in ``order`` that is not in ``stored`` yet.
 
-    Only hash, order and key are aggregated, with map-side minima, so neither a frequent hash nor a long text is moved.
+    Only hash, order and key are aggregated, with map-side minima, and rows meet their hash's first by hash and order
+    together, so neither a frequent hash is one task nor is a long text moved.
     """
     first = problems.groupBy("content_hash").agg(F.min(F.struct(*order)).alias("_first"))
     if stored is not None:
         first = first.join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
     narrow = problems.select("content_hash", *order, *(keep or []))
-    own = F.struct(*order)
-    return narrow.join(first, "content_hash", "left").withColumn("is_stored", F.coalesce(own == F.col("_first"), F.lit(False))).drop("_first")
+    first = first.select(F.col("content_hash").alias("_hash"), *(F.col(f"_first.{c}").alias(f"_{c}_first") for c in order), F.lit(True).alias("_is_first"))
+    same = F.col("content_hash") == F.col("_hash")
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_first"))
+    return narrow.join(first, same, "left").withColumn("is_stored", F.col("_is_first").isNotNull()).select(*narrow.columns, "is_stored")
 
 
 def inserted_if_absent(old: DataFrame, new: DataFrame, key: list[str], order: Column | None = None) -> DataFrame:

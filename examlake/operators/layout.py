@@ -16,6 +16,8 @@ GUTTER, CLUSTER_GAP, CLUSTER_LEAST, INDENT = 6.0, 1.0, 5, 30.0
 REGION_ABOVE, REGION_BELOW = 2.0, 3.0
 ROW_Y, ROW_GAP, FULL_FROM, FULL_OVER, FULL_ROWS = 2.0, 12.0, 0.15, 0.10, 3
 GLYPH_Y, GLYPH_GAP = 3.0, 6.0
+CONFIDENCE, TEXT_PAD, SAMPLE_LEFT = 0.5, 2.0, 1.0
+NUMBER_FONT, NUMBER_SIZE, FEW_ANCHORS = "DINCondensed", 15.0, 2
 PAGE, COLUMN = ["doc_id", "page"], ["doc_id", "page", "col"]
 
 
@@ -39,6 +41,29 @@ def column_bounds(col: Column, split: Column, single: Column, x0: Column, x1: Co
     return F.when(single, F.struct(x0.alias("x0"), x1.alias("x1"))).when(col == 0, left).otherwise(right)
 
 
+def sure_lines(ocr_lines: DataFrame) -> DataFrame:
+    """Lines of text recognition that were read well enough. They serve as anchors and as samples alike."""
+    return ocr_lines.filter(F.col("confidence") >= CONFIDENCE)
+
+
+def ocr_rects(bodies: DataFrame, lines: DataFrame) -> DataFrame:
+    """W2 for scans: bodies (PAGE, w, x0, y0, x1, y1) whose sides are those of the page's lines, a little wider, within the page; a page without lines keeps its own. split is the middle of them, which stands for the page's."""
+    text = lines.groupBy(*PAGE).agg(F.min("x0").alias("_a"), F.max("x1").alias("_b"))
+    a, b = F.greatest(F.lit(0.0), F.col("_a") - TEXT_PAD), F.least(F.col("w"), F.col("_b") + TEXT_PAD)
+    j = bodies.join(text, PAGE, "left").withColumn("_ok", F.coalesce(b - a > 0, F.lit(False)))
+    return j.withColumns({"split": F.when(F.col("_ok"), (a + b) / 2).otherwise(F.col("w") / 2), "x0": F.when(F.col("_ok"), a).otherwise(F.col("x0")), "x1": F.when(F.col("_ok"), b).otherwise(F.col("x1"))}).drop("_a", "_b", "_ok")
+
+
+def in_band(y0: Column, y1: Column, body_y0: Column, body_y1: Column) -> Column:
+    """An anchor's line is in the body if its centre is, so that a tall formula does not push it out."""
+    return ((y0 + y1) / 2).between(body_y0, body_y1)
+
+
+def is_sample(x0: Column, y0: Column, y1: Column, body_y0: Column, body_y1: Column, col_x0: Column, col_x1: Column) -> Column:
+    """A line is a sample of the alignment if all of it is in the body and it begins in its column. Not the anchors' test, on purpose."""
+    return (y0 >= body_y0) & (y1 <= body_y1) & x0.between(col_x0 - SAMPLE_LEFT, col_x1)
+
+
 def alignment(samples: DataFrame, by: list[str]) -> DataFrame:
     """The leftmost cluster of x0 (new where a gap exceeds a point) of five samples or more, by ``by``; groups without one have no row."""
     w = Window.partitionBy(*by).orderBy("x0")
@@ -103,61 +128,112 @@ def graphics_reasons(boxes: DataFrame, images: DataFrame, drawings: DataFrame, l
     return j.withColumn("graphics_reason", F.when(F.col("_i") > 0, "image").when(F.col("_d") > most, "drawings")).drop("_i", "_d")
 
 
+def _by_page(rows: DataFrame, by: list[str], columns: tuple[str, ...], order: tuple[Column, ...]) -> DataFrame:
+    """One row for each group with its rows' columns as arrays, in order. Groups are pages or columns of pages: they stay small."""
+    keys = [f"_k{i}" for i in range(len(order))]
+    g = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*(o.alias(k) for o, k in zip(order, keys, strict=True)), *columns))).alias("g"))
+    return g.select(*by, *(F.col(f"g.{c}").alias(c) for c in columns))
+
+
+def row_spans(x0, y0, x1, y1) -> list[list[tuple[float, float]]]:
+    """Rows of boxes given in order of (y0, x0, x1), each as its spans; boxes of a row that nearly touch are one span. A row's first box decides who belongs to it."""
+    rows: list[list[tuple[float, float]]] = []
+    first = -np.inf
+    for a, b, top, bottom in zip(x0, x1, y0, y1, strict=True):
+        y = (top + bottom) / 2
+        if y - first > ROW_Y:
+            rows.append([])
+            first = y
+        rows[-1].append((a, b))
+    out = []
+    for row in rows:
+        spans: list[tuple[float, float]] = []
+        for a, b in sorted(row):
+            if spans and a - spans[-1][1] <= ROW_GAP:
+                spans[-1] = spans[-1][0], max(b, spans[-1][1])
+            else:
+                spans.append((a, b))
+        out.append(spans)
+    return out
+
+
 def full_rows(words: DataFrame) -> DataFrame:
     """By page: rows of words, and those that begin at the left edge and pass the split. Words: PAGE, x0, y0, x1, y1, w (page width)."""
 
-    def rows(page: pd.DataFrame) -> pd.DataFrame:
-        p = page.sort_values(["y0", "x0", "x1"], kind="stable")
-        centre = ((p["y0"] + p["y1"]) / 2).to_numpy()
-        row, number = np.zeros(len(p), int), -1
-        first = -np.inf
-        for i, y in enumerate(centre):  # a row's first word decides who belongs to it
-            if y - first > ROW_Y:
-                number, first = number + 1, y
-            row[i] = number
-        p = p.assign(row=row).sort_values(["row", "x0"], kind="stable")
-        reach = p.groupby("row")["x1"].cummax()
-        new = (p["row"] != p["row"].shift()) | (p["x0"] - reach.shift() > ROW_GAP)
-        span = p.assign(span=new.cumsum()).groupby(["row", "span"]).agg(x0=("x0", "min"), x1=("x1", "max")).reset_index()
-        width = float(p["w"].iloc[0])
-        full = span[(span["x0"] <= FULL_FROM * width) & (span["x1"] > (0.5 + FULL_OVER) * width)]["row"].nunique()
-        return pd.DataFrame({"doc_id": [p["doc_id"].iloc[0]], "page": [p["page"].iloc[0]], "full": [full], "total": [number + 1]})
-
-    return words.groupBy(*PAGE).applyInPandas(rows, "doc_id long, page int, full int, total int")
+    @F.pandas_udf("full int, total int")
+    def rows(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, w: pd.Series) -> pd.DataFrame:
+        out = []
+        for *boxes, width in zip(x0, y0, x1, y1, w, strict=True):
+            found = row_spans(*boxes)
+            full = sum(any(a <= FULL_FROM * width[0] and b > (0.5 + FULL_OVER) * width[0] for a, b in spans) for spans in found)
+            out.append((full, len(found)))
+        return pd.DataFrame(out, columns=["full", "total"])
+
+    pages = _by_page(words, PAGE, ("x0", "y0", "x1", "y1", "w"), (F.col("y0"), F.col("x0"), F.col("x1")))
+    return pages.select(*PAGE, rows("x0", "y0", "x1", "y1", "w").alias("r")).select(*PAGE, "r.full", "r.total")
+
+
+def merged_glyphs(text, x0, y0, x1) -> list[tuple[int, float, float, float]]:
+    """(no, x0, y0, x1) of glyphs given in order of (y0 in tenths, x0): those side by side are one number; digits only, one to three."""
+    groups: list[list] = []
+    for t, a, y, b in zip(text, x0, y0, x1, strict=True):
+        if groups and abs(y - groups[-1][2]) <= GLYPH_Y and a - groups[-1][3] <= GLYPH_GAP:
+            groups[-1][0] += t
+            groups[-1][3] = b
+        else:
+            groups.append([t, a, y, b])
+    digits = (("".join(c for c in t if c.isdecimal()), a, y, b) for t, a, y, b in groups)
+    return [(int(d), float(a), float(y), float(b)) for d, a, y, b in digits if 1 <= len(d) <= 3]
 
 
 def merged_numbers(glyphs: DataFrame) -> DataFrame:
     """Large glyphs (PAGE, text, x0, y0, x1) that stand side by side, read as one number of one to three digits."""
 
-    def merge(page: pd.DataFrame) -> pd.DataFrame:
-        p = page.assign(key=np.floor(page["y0"] * 10 + 0.5)).sort_values(["key", "x0"], kind="stable")
-        out: list[list] = []
-        for text, x0, y0, x1 in p[["text", "x0", "y0", "x1"]].itertuples(index=False):
-            if out and abs(y0 - out[-1][2]) <= GLYPH_Y and 0 <= x0 - out[-1][3] <= GLYPH_GAP:
-                out[-1][0] += text
-                out[-1][3] = x1
-            else:
-                out.append([text, x0, y0, x1])
-        rows = [(t.strip(), x, y, z) for t, x, y, z in out if t.strip().isdigit() and len(t.strip()) <= 3]
-        return pd.DataFrame({"doc_id": page["doc_id"].iloc[0], "page": page["page"].iloc[0], "no": [int(r[0]) for r in rows], "x0": [r[1] for r in rows], "y0": [r[2] for r in rows], "x1": [r[3] for r in rows]}, index=range(len(rows)))
+    @F.pandas_udf("array<struct<no:int,x0:double,y0:double,x1:double>>")
+    def merge(text: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("no", "x0", "y0", "x1"), n, strict=True)) for n in merged_glyphs(*row)] for row in zip(text, x0, y0, x1, strict=True)])
+
+    pages = _by_page(glyphs, PAGE, ("text", "x0", "y0", "x1"), (half_up(F.col("y0"), 1), F.col("x0")))
+    return pages.select(*PAGE, F.explode(merge("text", "x0", "y0", "x1")).alias("n")).select(*PAGE, "n.no", "n.x0", "n.y0", "n.x1")
+
 
-    return glyphs.groupBy(*PAGE).applyInPandas(merge, "doc_id long, page int, no int, x0 double, y0 double, x1 double")
+def workbook_anchors(spans: DataFrame, bodies: DataFrame, single: bool = False) -> DataFrame:
+    """Candidates (doc_id, pos, no, page, col, x0, y0) of a workbook's large printed numbers, in reading order: spans of the number font and size, merged, that begin in the body. bodies: PAGE, w, y0, y1. Their chain is W6's."""
+    large = spans.filter(F.contains("font", F.lit(NUMBER_FONT)) & (F.col("size") >= NUMBER_SIZE)).select(*PAGE, "text", "x0", "y0", "x1")
+    numbers = merged_numbers(large).join(bodies.select(*PAGE, "w", F.col("y0").alias("_a"), F.col("y1").alias("_b")), PAGE).filter(F.col("y0").between(F.col("_a"), F.col("_b")))
+    return reading_order(numbers.withColumn("col", column_of(F.col("x0"), F.col("w") / 2, F.lit(single)))).select("doc_id", "pos", "no", "page", "col", "x0", "y0")
+
+
+def with_fallback(anchors: DataFrame, workbook: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """(doc_id, no, page, col, x0, y0, is_workbook): the anchors of each document, or its workbook numbers where it has fewer than two anchors and more of those; then its mode is image. Documents of ``scanned`` (doc_id) have no fonts and keep their anchors."""
+    n, k = anchors.groupBy("doc_id").agg(F.count("*").alias("_n")), workbook.groupBy("doc_id").agg(F.count("*").alias("_k"))
+    better = k.join(n, "doc_id", "left").na.fill(0, ["_n"]).filter((F.col("_n") < FEW_ANCHORS) & (F.col("_k") > F.col("_n"))).select("doc_id")
+    if scanned is not None:
+        better = better.join(scanned.select("doc_id").distinct(), "doc_id", "left_anti")
+    columns = ["doc_id", "no", "page", "col", "x0", "y0"]
+    own = anchors.join(better, "doc_id", "left_anti").select(*columns, F.lit(False).alias("is_workbook"))
+    return own.unionByName(workbook.join(better, "doc_id", "left_semi").select(*columns, F.lit(True).alias("is_workbook")))
 
 
 def label_blocks(lines: DataFrame, first: str = "08 ", most_gap: float = 40.0) -> DataFrame:
     """Four label lines in a column, the first of the subject, close to each other, read as one type id. Found ones do not overlap."""
     label = lines.filter(F.col("text").rlike(r"^\d\d [가-힣]"))
 
-    def blocks(column: pd.DataFrame) -> pd.DataFrame:
-        c = column.sort_values(["y0", "x0"], kind="stable").reset_index(drop=True)
-        at, out = 0, []
-        while at + 4 <= len(c):
-            y = c["y0"].iloc[at : at + 4].to_numpy()
-            if c["text"].iloc[at].startswith(first) and (np.diff(y) <= most_gap).all():
-                out.append((".".join(t[:2] for t in c["text"].iloc[at : at + 4]), float(y[0]), float(c["y1"].iloc[at + 3])))
-                at += 4
-            else:
-                at += 1
-        return pd.DataFrame({"doc_id": c["doc_id"].iloc[0], "page": c["page"].iloc[0], "col": c["col"].iloc[0], "type_id": [o[0] for o in out], "y0": [o[1] for o in out], "y1": [o[2] for o in out]}, index=range(len(out)))
+    @F.pandas_udf("array<struct<type_id:string,y0:double,y1:double>>")
+    def blocks(text: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("type_id", "y0", "y1"), b, strict=True)) for b in found_blocks(*row, first, most_gap)] for row in zip(text, y0, y1, strict=True)])
+
+    columns = _by_page(label, COLUMN, ("text", "y0", "y1"), (F.col("y0"), F.col("x0")))
+    return columns.select(*COLUMN, F.explode(blocks("text", "y0", "y1")).alias("b")).select(*COLUMN, "b.type_id", "b.y0", "b.y1")
+
 
-    return label.groupBy(*COLUMN).applyInPandas(blocks, "doc_id long, page int, col int, type_id string, y0 double, y1 double")
+def found_blocks(text, y0, y1, first: str, most_gap: float) -> list[tuple[str, float, float]]:
+    """W17 within one column, whose label lines are given in order."""
+    at, out = 0, []
+    while at + 4 <= len(text):
+        if text[at].startswith(first) and all(y0[k + 1] - y0[k] <= most_gap for k in range(at, at + 3)):
+            out.append((".".join(t[:2] for t in text[at : at + 4]), float(y0[at]), float(y1[at + 3])))
+            at += 4
+        else:
+            at += 1
+    return out

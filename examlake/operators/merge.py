@@ -76,11 +76,11 @@ def added_items(items: DataFrame, requested: DataFrame, problems: DataFrame) ->
 
 
 def note_detail(items: DataFrame, nodes: DataFrame, problems: DataFrame, clean) -> DataFrame:
-    """Items with whether their source lives and, if so, the cleaned text of their problem."""
+    """Items with whether their source lives and, if so, ``clean`` of their problem's text (the cleaned text, or its hash). It is made once for each problem of a living source, before items are joined."""
     live = nodes.select(F.col("node_id").alias("source_node_id"), F.lit(True).alias("alive"))
-    text = problems.select(F.col("node_id").alias("source_node_id"), "no", F.col("text").alias("_text"))
+    text = problems.join(nodes.select("node_id"), "node_id", "left_semi").select(F.col("node_id").alias("source_node_id"), "no", clean(F.col("text")).alias("text"))
     j = items.join(live, "source_node_id", "left").join(text, ["source_node_id", "no"], "left")
-    return j.withColumn("alive", F.coalesce("alive", F.lit(False))).withColumn("text", F.when(F.col("alive"), clean(F.col("_text")))).drop("_text")
+    return j.withColumn("alive", F.coalesce("alive", F.lit(False)))
 
 
 def back_filled(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:

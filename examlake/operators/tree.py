@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; one of our own only where none is set."""
+    """A checkpoint in the shared folder; one of our own only where none is set and the master is local."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
@@ -48,14 +50,29 @@ def closure(nodes: DataFrame, picked: DataFrame, pairs: DataFrame | None = None)
     return pairs.join(picked.select(F.col("node_id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi").select("node_id").distinct()
 
 
-def with_depth(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Nodes with depth; nodes without a parent and those of a cycle are roots at 0."""
-    pairs = ancestors(nodes) if pairs is None else pairs
-    up = rooted(nodes.select("node_id", "parent_id"))
-    # on a cycle: my parent has me above it
-    loop = up.join(pairs.select(F.col("node_id").alias("parent_id"), F.col("ancestor_id").alias("_a")), "parent_id").filter(F.col("_a") == F.col("node_id")).select("node_id").distinct()
-    roots = up.filter("parent_id is null").select("node_id").unionAll(loop).distinct()
-    depth = pairs.join(roots.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id", "left_semi").groupBy("node_id").agg(F.min("distance").alias("depth"))
+def with_depth(nodes: DataFrame) -> DataFrame:
+    """Nodes with depth; nodes without a parent and those of a cycle are roots at 0.
+
+    Every node keeps one pointer, which reaches twice as far each round, so the table stays as long as ``nodes``. Pointers that
+    reach no root are those of cycles and of what hangs on them; only these nodes' ancestors are listed.
+    """
+    up = rooted(nodes.select("node_id", "parent_id").distinct())
+    now = _cut(up.select("node_id", F.coalesce("parent_id", "node_id").alias("at"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.col("parent_id").isNull().alias("done")))
+    left = None
+    while True:
+        far = now.select(F.col("node_id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_more"), F.col("done").alias("_done"))
+        now = _cut(now.join(far, "at").select("node_id", F.col("_at").alias("at"), (F.col("depth") + F.col("_more")).alias("depth"), "_done").withColumnRenamed("_done", "done"))
+        open_ = now.filter(~F.col("done")).count()
+        if not open_ or open_ == left:
+            break
+        left = open_
+    depth = now.filter("done").select("node_id", "depth")
+    if open_:
+        ring = up.join(now.filter(~F.col("done")).select("node_id"), "node_id", "left_semi")
+        pairs = ancestors(ring)
+        # on a cycle: my parent has me above it
+        loop = ring.join(pairs.select(F.col("node_id").alias("parent_id"), F.col("ancestor_id").alias("_a")), "parent_id").filter(F.col("_a") == F.col("node_id")).select(F.col("node_id").alias("ancestor_id")).distinct()
+        depth = depth.unionByName(pairs.join(loop, "ancestor_id", "left_semi").groupBy("node_id").agg(F.min("distance").alias("depth")))
     return nodes.join(depth, "node_id", "left")
 
 
@@ -105,6 +122,14 @@ def moves_checked(nodes: DataFrame, moves: DataFrame, pairs: DataFrame | None =
     return j.select("node_id", "to_id", reason.alias("reason"))
 
 
-def name_key(name):
-    """Digits padded, so that names sort as numbers do."""
-    return F.lower(F.regexp_replace(F.regexp_replace(name, r"(\d+)", "000000000000$1"), r"0*(\d{12})(?!\d)", "$1"))
+def name_key(name: Column) -> Column:
+    """Sorts numbers in names by their value, however long: leading zeros go, and each number stands behind its count of digits (four digits, so up to 9,999)."""
+    bare = F.regexp_replace(F.lower(name), r"(?<![0-9])0+(?=[0-9])", "")
+    pieces = F.regexp_extract_all(bare, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.char_length(p).cast("string"), 4, "0"), p)).otherwise(p)), "")
+
+
+def tree_order(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """Nodes with place, from 1 in each group of ``by`` (as a rule the parent): folders first, then by name as ``name_key`` sorts, Korean syllables by code point, which is their alphabet's order; ties by the name itself, then the id."""
+    w = Window.partitionBy(*by).orderBy(F.when(F.col("type") == "folder", 0).otherwise(1), name_key(F.col("name")), "name", "node_id")
+    return nodes.withColumn("place", F.row_number().over(w))

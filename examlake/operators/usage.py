@@ -43,10 +43,11 @@ def usage_summary(tables: list[DataFrame], now: Column) -> DataFrame:
 def priced(calls: DataFrame, rates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls (model, and *_tokens) with usd and krw, and those of unknown models. ``rates`` (model_key, input, output as decimals per million tokens) is a price list, a handful of rows.
 
-    The exact model counts, or else the longest key that begins its name.
+    The exact model counts, or else the longest key that begins its name: names are joined by each of their beginnings.
     """
     models = calls.select("model").distinct()
-    best = models.join(F.broadcast(rates), F.startswith(models["model"], rates["model_key"])).groupBy("model").agg(F.max_by(F.struct("input", "output"), F.length("model_key")).alias("rate"))
+    begins = models.select("model", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("model")), lambda n: F.left("model", n))).alias("model_key"))
+    best = begins.join(rates, "model_key").groupBy("model").agg(F.max_by(F.struct("input", "output"), F.length("model_key")).alias("rate"))
     joined = calls.join(best, "model", "left")
     tokens = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(12,0)")
     m = lambda x: F.lit(x).cast("decimal(3,2)")
@@ -74,5 +75,5 @@ def exam_estimate(exams: DataFrame, rates: DataFrame) -> DataFrame:
     """Exams (exam, model, problems) with the estimated dollars; null for an unknown model or no problems."""
     e = ESTIMATE_TOKENS
     one = (F.col("output") * e["output"] + F.col("input") * F.lit(CACHE_READ).cast("decimal(3,2)") * e["cache_read"] + F.col("input") * e["input"]) * F.lit("0.000001").cast("decimal(7,6)")
-    joined = exams.join(F.broadcast(rates), exams["model"] == rates["model_key"], "left")
+    joined = exams.join(rates, exams["model"] == rates["model_key"], "left")
     return joined.select("exam", "model", "problems", F.when(F.col("problems") > 0, F.round(one * F.col("problems"), 6)).cast("double").alias("usd"))

@@ -142,7 +142,7 @@ def _glyphs(spark, d):
     return x.select("doc_id", "page", "no", ch.alias("char"), F.lit("HyhwpEQ").alias("font"), "size", "x0", (F.col("x0") + 5).alias("x1"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("y1"), "baseline").withColumn("offset", glyphs.offset(F.col("char")))
 
 
-@query(f"WITH {_GLYPHS}, v AS (SELECT doc_id, no, floor(size * 10 + 0.5) / 10 AS s, count(*) AS n FROM g WHERE off NOT IN (109, 110, 111) GROUP BY ALL) SELECT doc_id, no, arg_max(s, (n, s))::DOUBLE AS body FROM v GROUP BY doc_id, no")
+@query(f"WITH {_GLYPHS}, v AS (SELECT doc_id, no, floor(size * 10 + 0.5) / 10 AS s, count(*) AS n FROM g WHERE off NOT IN (92, 109, 110) GROUP BY ALL) SELECT doc_id, no, arg_max(s, (n, s))::DOUBLE AS body FROM v GROUP BY doc_id, no")
 def a15_body_sizes(spark, d):
     return glyphs.body_sizes(_glyphs(spark, d))
 
@@ -152,7 +152,7 @@ def _mapped(spark, d):
     return glyphs.mapped(_glyphs(spark, d), table)
 
 
-@query(f"WITH {_GLYPHS} SELECT doc_id, no, coalesce(array_to_string(list_sort(list(DISTINCT off) FILTER (off % 10 = 3)), ','), '') AS unknown, coalesce(array_to_string(list_sort(list(DISTINCT off) FILTER (off % 10 <> 3 AND off % 7 = 2)), ','), '') AS uncertain FROM g GROUP BY doc_id, no")
+@query(f"WITH {_GLYPHS} SELECT doc_id, no, coalesce(array_to_string(list_sort(list(DISTINCT off) FILTER (off % 10 = 3 AND off NOT IN (92, 109, 110))), ','), '') AS unknown, coalesce(array_to_string(list_sort(list(DISTINCT off) FILTER (off % 10 <> 3 AND off % 7 = 2)), ','), '') AS uncertain FROM g GROUP BY doc_id, no")
 def g1_g2_mapping_report(spark, d):
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return glyphs.mapping_report(_mapped(spark, d)).select("doc_id", "no", text("unknown"), text("uncertain"))
@@ -181,3 +181,31 @@ def g4_g5_g6_g7_decoded(spark, d):
 def a12_run_counters(spark, d):
     a = I.table(spark, d, "documents").selectExpr("doc_id % 50 as run_id", "case doc_id % 3 when 0 then 'pua' when 1 then 'ai' else 'crop_missing' end as route", "doc_id % 5 <> 0 as available")
     return glyphs.run_counters(a)
+
+
+@query(f"""WITH {I.LINES_SQL}, t AS (SELECT doc_id, page, min(x0) AS a, max(x0 + 100) AS b FROM lines WHERE no % 2 = 0 GROUP BY ALL), p AS (SELECT DISTINCT doc_id, page FROM lines)
+SELECT doc_id, page, coalesce(greatest(0.0, a - 2), 24.0)::DOUBLE AS x0, coalesce(least(600.0, b + 2), 576.0)::DOUBLE AS x1, coalesce((greatest(0.0, a - 2) + least(600.0, b + 2)) / 2, 300.0)::DOUBLE AS split FROM p LEFT JOIN t USING (doc_id, page)""")
+def w2_p28_ocr_rects(spark, d):
+    x = I.lines(spark, d).withColumns({"x1": F.col("x0") + 100, "confidence": F.when(F.col("no") % 2 == 0, 0.5).otherwise(0.4999)})
+    bodies = x.select("doc_id", "page").distinct().withColumns({"w": F.lit(600.0), "x0": F.lit(24.0), "x1": F.lit(576.0)})
+    return layout.ocr_rects(bodies, layout.sure_lines(x)).select("doc_id", "page", "x0", "x1", "split")
+
+
+@query(f"""WITH {I.LINES_SQL}, b AS (SELECT *, y0 + 12 + no AS y1, CASE col WHEN 0 THEN 60 ELSE 340 END AS c0, CASE col WHEN 0 THEN 290 ELSE 360 END AS c1 FROM lines)
+SELECT doc_id, page, col, count(*) FILTER ((y0 + y1) / 2 BETWEEN 40 AND 700) AS anchors, count(*) FILTER (y0 >= 40 AND y1 <= 700 AND x0 BETWEEN c0 - 1 AND c1) AS samples FROM b GROUP BY ALL""")
+def p27_content_bands(spark, d):
+    x = I.lines(spark, d).withColumns({"y1": F.col("y0") + 12 + F.col("no"), "c0": F.when(F.col("col") == 0, 60).otherwise(340), "c1": F.when(F.col("col") == 0, 290).otherwise(360)})
+    band = F.lit(40.0), F.lit(700.0)
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return x.groupBy(*layout.COLUMN).agg(n(layout.in_band(F.col("y0"), F.col("y1"), *band), "anchors"), n(layout.is_sample(F.col("x0"), F.col("y0"), F.col("y1"), *band, F.col("c0"), F.col("c1")), "samples"))
+
+
+@query()
+def w15_fallback_anchors(spark, d):
+    """Workbooks whose numbers are large glyphs: their chains where plain anchors are fewer than two."""
+    x = I.lines(spark, d)
+    spans = x.selectExpr("doc_id", "page", "if(no % 2 = 0, 'DINCondensed-Bold', 'Body') as font", "cast(if(no % 3 = 0, 10, 16) as double) as size", "cast(no as string) as text", "x0", "y0", "x0 + 4 as x1")
+    bodies = x.select("doc_id", "page").distinct().withColumns({"w": F.lit(600.0), "y0": F.lit(20.0), "y1": F.lit(760.0)})
+    numbers = layout.workbook_anchors(spans, bodies)
+    kept = chain.chains(numbers.select("doc_id", "pos", "no"), chain.longest_increasing)
+    return layout.with_fallback(x.filter("doc_id % 3 = 0"), numbers.join(kept.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi"))

@@ -168,6 +168,38 @@ def a14_export_notices(spark, d):
     return blocks.export_notice(p)
 
 
+_B4 = """WITH x AS (SELECT doc_id // 40 AS doc, (doc_id % 40 + 1) * 10 + CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 9 END AS item, doc_id,
+  CASE WHEN doc_id % 5 = 0 THEN 'E-' || doc_id ELSE (doc_id % 40 + 1) || '번' END || ' · ' || CASE doc_id % 4 WHEN 0 THEN '숫자 변형' WHEN 1 THEN '조건 변형' WHEN 2 THEN '숫자·조건 변형' ELSE 'zz' END AS h,
+  trim(text, ' ' || chr(10)) AS t, doc_id % 3 = 0 AS s FROM documents),
+r AS (SELECT DISTINCT doc, 0 AS part, 0 AS item, 0 AS i, 'heading' AS kind, 1 AS level, 'variants ' || doc AS text FROM x UNION ALL SELECT doc, 1, item, 0, 'heading', 2, h FROM x UNION ALL SELECT doc, 1, item, 1, 'text', NULL, sha256(t) FROM x WHERE t <> ''
+UNION ALL SELECT DISTINCT doc, 2, 0, 0, 'page_break', NULL, NULL FROM x WHERE s UNION ALL SELECT DISTINCT doc, 2, 0, 1, 'heading', 1, '정답 및 해설' FROM x WHERE s
+UNION ALL SELECT doc, 3, item, 0, 'heading', 2, h FROM x WHERE s UNION ALL SELECT doc, 3, item, 1, 'heading', 3, '정답' FROM x WHERE s UNION ALL SELECT doc, 3, item, 2, 'text', NULL, sha256('answer ' || doc_id) FROM x WHERE s)
+SELECT doc AS doc_id, row_number() OVER (PARTITION BY doc ORDER BY part, item, i) - 1 AS pos, kind, level::INT AS level, text FROM r"""
+
+
+@query(_B4)
+def b4_variant_documents(spark, d):
+    v = I.problems(spark, d).select(F.col("node_id").alias("doc_id"), "no", "label", F.expr("case doc_id % 4 when 0 then 'number' when 1 then 'condition' when 2 then 'number_condition' else 'zz' end").alias("mode"), F.expr("concat('## 문제\n', text, '\n## 문제 확인\nq\n## 풀이\n \n', if(doc_id % 3 = 0, concat('## 정답\nanswer ', doc_id), ''))").alias("text"))
+    out = blocks.assembled(blocks.variant_items(v), F.concat(F.lit("variants "), F.col("doc_id")))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "kind", "level", F.when(F.col("kind") == "text", F.sha2("text", 256)).otherwise(F.col("text")).alias("text"))
+
+
+_B5 = """WITH x AS (SELECT doc_id // 40 AS doc, doc_id % 40 + 1 AS item, doc_id, 'exam' || (doc_id % 3) || ' ' || CASE WHEN doc_id % 5 = 0 THEN 'E-' || doc_id ELSE (doc_id % 40 + 1) || '번' END AS h,
+  doc_id % 2 = 0 AND trim(text, ' ' || chr(9) || chr(10)) <> '' AS t, text, doc_id % 7 = 0 AS m, doc_id % 3 = 0 AS s FROM documents),
+r AS (SELECT DISTINCT doc, 0 AS part, 0 AS item, 0 AS i, 'heading' AS kind, 1 AS level, 'note ' || doc AS text FROM x UNION ALL SELECT doc, 1, item, 0, 'heading', 2, h FROM x UNION ALL SELECT doc, 1, item, 1, CASE WHEN t THEN 'text' ELSE 'image' END, NULL, CASE WHEN t THEN sha256(text) END FROM x
+UNION ALL SELECT doc, 1, item, 2, 'text', NULL, sha256('메모: why ' || doc_id) FROM x WHERE m
+UNION ALL SELECT DISTINCT doc, 2, 0, 0, 'page_break', NULL, NULL FROM x WHERE s UNION ALL SELECT DISTINCT doc, 2, 0, 1, 'heading', 1, '정답 및 해설' FROM x WHERE s
+UNION ALL SELECT doc, 3, item, 0, 'heading', 2, h FROM x WHERE s UNION ALL SELECT doc, 3, item, 1, 'heading', 3, '풀이' FROM x WHERE s UNION ALL SELECT doc, 3, item, 2, 'text', NULL, sha256('so ' || doc_id) FROM x WHERE s)
+SELECT doc AS doc_id, row_number() OVER (PARTITION BY doc ORDER BY part, item, i) - 1 AS pos, kind, level::INT AS level, text FROM r"""
+
+
+@query(_B5)
+def b5_note_documents(spark, d):
+    n = I.problems(spark, d).select(F.col("node_id").alias("doc_id"), F.col("no").cast("long").alias("item"), "no", "label", F.concat(F.lit("exam"), F.col("doc_id") % 3, F.lit(".PDF")).alias("source_name"), (F.col("doc_id") % 2 == 0).alias("as_text"), F.col("text").alias("transcript"), F.lit(True).alias("has_crop"), F.expr("if(doc_id % 7 = 0, concat(' why ', doc_id), ' ')").alias("memo"), F.expr("if(doc_id % 3 = 0, concat('so ', doc_id), null)").alias("solution"))
+    out = blocks.assembled(blocks.note_document_items(n), F.concat(F.lit("note "), F.col("doc_id")))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "kind", "level", F.when(F.col("kind") == "text", F.sha2("text", 256)).otherwise(F.col("text")).alias("text"))
+
+
 # Whole jobs over the texts themselves: a parser's results, which SQL cannot give; tests compare them with brute force.
 def _maths(spark, d):
     """Documents as they are, with maths before and behind the text, and with the whole text as maths."""

@@ -71,9 +71,8 @@ def d8_cascade_note_items(spark, d):
     return merge.cascaded({"note_items": items}, gone)["note_items"]
 
 
-@query("""SELECT c_custkey, 'a' || (c_custkey % 1000) || 'b' AS name, dense_rank() OVER (ORDER BY (c_custkey % 1000)) AS place FROM customer""")
+@query("""WITH n AS (SELECT c_custkey, c_nationkey, c_custkey % 3 = 0 AS folder, ((c_custkey % 1000)::HUGEINT * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 100000000000000 END) AS k FROM customer)
+SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN folder THEN 0 ELSE 1 END, k, c_custkey::VARCHAR) AS place FROM n""")
 def o4_tree_order(spark, d):
-    c = I.table(spark, d, "customer").selectExpr("c_custkey", "concat('a', c_custkey % 1000, 'b') as name")
-    ranked = c.select("name").distinct().select("name", F.expr("1").alias("_")).withColumn("k", tree.name_key(F.col("name")))
-    order = ranked.select("name", F.expr("dense_rank() over (order by k)").cast("long").alias("place"))
-    return c.join(order, "name").select("c_custkey", "name", "place")
+    c = I.table(spark, d, "customer").selectExpr("c_custkey", "c_nationkey", "cast(c_custkey as string) as node_id", "if(c_custkey % 3 = 0, 'folder', 'file') as type", "concat('A', lpad('', c_custkey % 4, '0'), c_custkey % 1000, if(c_custkey % 2 = 0 or c_custkey % 1000 = 0, '', '00000000000000'), '장') as name")
+    return tree.tree_order(c.withColumn("name", F.regexp_replace("name", "^A0+(?=[0-9])", "A")), ["c_nationkey"]).select("c_custkey", F.col("place").cast("long").alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
-from examlake.operators import merge, planning
+from examlake.operators import files, merge, planning
 from examlake.plans import inputs as I
 from examlake.plans.catalog import query
 
@@ -77,7 +77,7 @@ def a13_variant_progress(spark, d):
 
 
 @query(f"WITH {I.PROBLEMS_SQL} SELECT node_id, count(*) FILTER (coalesce(transcript, '') <> '') AS transcribed, coalesce(array_to_string(list_sort(list(no) FILTER (coalesce(transcript, '') = '')), ','), '') AS open_numbers, bool_and(coalesce(transcript, '') <> '') AS all_done FROM problems GROUP BY node_id")
-def a13_p29_transcript_progress(spark, d):
+def a13_transcript_progress(spark, d):
     p = planning.transcript_progress(I.problems(spark, d))
     return p.withColumn("open_numbers", F.array_join(F.transform("open_numbers", lambda x: x.cast("string")), ","))
 
@@ -122,11 +122,56 @@ def j10_note_details(spark, d):
     p = I.problems(spark, d)
     items = I.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", "l_suppkey as source_node_id", "l_linenumber as no", "l_partkey")
     nodes = p.filter("node_id % 3 > 0").select("node_id").distinct()
-    out = merge.note_detail(items, nodes, p.select("node_id", "no", F.col("raw_text").alias("text")), T.cleaned)
-    return out.select("id", "l_partkey", "alive", F.sha2("text", 256).alias("text_sha"))
+    out = merge.note_detail(items, nodes, p.select("node_id", "no", F.col("raw_text").alias("text")), lambda t: F.sha2(T.cleaned(t), 256))
+    return out.select("id", "l_partkey", "alive", F.col("text").alias("text_sha"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, 'exam' AS section, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber::VARCHAR ELSE 'L' || l_linenumber END AS label, NULL::VARCHAR AS transcript FROM lineitem")
 def s7_back_filled(spark, d):
     old = I.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber as no", "if(l_partkey % 2 = 0, '', null) as section", "if(l_linenumber % 2 = 0, '', concat('L', l_linenumber)) as label")
     return merge.back_filled(old, {"section": "string", "label": "string", "transcript": "string"}).drop("no")
+
+
+_FILES = "files AS (SELECT 'c' || c_custkey AS node_id, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 50 END AS pages, c_custkey % 30 AS problem_count, CASE WHEN c_custkey % 2 = 0 THEN 'text' ELSE 'image' END AS mode, (c_custkey % 4) / 4.0 AS pua_ratio FROM customer)"
+
+
+@query(f"WITH {I.NODES_SQL}, {_FILES} SELECT n.node_id, n.type, n.name, n.section, pages, CASE WHEN pages IS NOT NULL THEN problem_count END AS problem_count, CASE WHEN pages IS NOT NULL THEN mode END AS mode FROM nodes n LEFT JOIN files f ON f.node_id = n.node_id AND n.type = 'file'")
+def j1_node_list(spark, d):
+    f = I.table(spark, d, "customer").selectExpr("concat('c', c_custkey) as node_id", "if(c_custkey % 3 > 0, c_custkey % 50, null) as pages", "c_custkey % 30 as problem_count", "if(c_custkey % 2 = 0, 'text', 'image') as mode", "(c_custkey % 4) / 4.0 as pua_ratio")
+    return files.node_list(I.nodes(spark, d), f).select("node_id", "type", "name", "section", "file.pages", "file.problem_count", "file.mode")
+
+
+@query(f"WITH {I.PROBLEMS_SQL} SELECT node_id, no, coalesce(label, no::VARCHAR) AS label, doc_id % 3 = 0 AS has_solution, coalesce(transcript, '') <> '' AS has_transcript, transcript_source FROM problems")
+def j2_file_details(spark, d):
+    p = I.problems(spark, d)
+    solutions = p.filter("doc_id % 3 = 0")
+    return files.file_details(p, solutions.unionAll(solutions)).select("node_id", "no", "label", "has_solution", "has_transcript", "transcript_source")
+
+
+@query(f"WITH {I.PROBLEMS_SQL}, n AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN 'cut off' WHEN doc_id % 4 = 2 THEN '' END AS note FROM problems) SELECT node_id, no, sha256(transcript) AS transcript_sha, transcript_source, note AS transcript_note FROM n WHERE coalesce(transcript, '') <> '' OR coalesce(note, '') <> ''")
+def p29_transcript_list(spark, d):
+    p = I.problems(spark, d).withColumn("transcript_note", F.expr("case doc_id % 4 when 1 then 'cut off' when 2 then '' end"))
+    return files.transcript_list(p).select("node_id", "no", F.sha2("transcript", 256).alias("transcript_sha"), "transcript_source", "transcript_note")
+
+
+@query(f"WITH {I.PROBLEMS_SQL}, i AS (SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS item_id, CASE WHEN l_partkey % 5 > 0 THEN l_suppkey END AS source_node_id, l_linenumber AS no FROM lineitem) SELECT item_id, 'solution ' || doc_id AS solution FROM i JOIN problems p ON p.node_id = i.source_node_id AND p.no = i.no WHERE p.node_id % 3 > 0 AND p.doc_id % 3 = 0")
+def j11_note_solutions(spark, d):
+    p = I.problems(spark, d)
+    items = I.table(spark, d, "lineitem").selectExpr("l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as item_id", "if(l_partkey % 5 > 0, l_suppkey, null) as source_node_id", "l_linenumber as no")
+    return files.note_solutions(items, p.filter("node_id % 3 > 0").select("node_id"), p.filter("doc_id % 3 = 0").selectExpr("node_id", "no", "concat('solution ', doc_id) as solution"))
+
+
+@query(f"WITH {I.PROBLEMS_SQL}, {_VARIANTS} SELECT v.node_id, v.no, v.mode, coalesce(p.label, '') AS label, count(*) AS variants FROM v LEFT JOIN problems p ON p.node_id = v.node_id AND p.no = v.no GROUP BY ALL")
+def j12_labelled_variants(spark, d):
+    out = files.labelled_variants(_variants(spark, d), I.problems(spark, d))
+    return out.groupBy("node_id", "no", "mode", "label").agg(F.count("*").alias("variants"))
+
+
+@query("SELECT o_custkey % 50 AS note_id, o_orderdate AS created_at, o_orderkey AS seq FROM orders")
+def o3_note_items(spark, d):
+    return files.note_items(I.table(spark, d, "orders").selectExpr("o_custkey % 50 as note_id", "o_orderdate as created_at", "o_orderkey as seq"))
+
+
+@query("SELECT lpad((p_partkey % 90)::VARCHAR, 2, '0') || '.' || p_partkey AS id, p_name AS name FROM part")
+def o5_type_dictionary(spark, d):
+    return files.type_dictionary(I.table(spark, d, "part").selectExpr("concat(lpad(p_partkey % 90, 2, '0'), '.', p_partkey) as id", "p_name as name"))

@@ -22,6 +22,11 @@ SCHEMAS = {
     "problem_types": "id string, subject string, area string, chapter string, name string, statement string, includes string, excludes string, status string",
     "bank_problems": "id string, raw_text string, transcript string, content_hash string, origin string, visibility string, source_label string",
     "problem_tags": "bank_id string, type_id string, confidence double, source string, evidence string",
+    "page_words": "doc_id long, page int, x0 double, y0 double, x1 double, y1 double",
+    "page_rules": "doc_id long, page int, x0 double, y0 double, x1 double, y1 double",
+    "page_spans": "doc_id long, page int, font string, size double, text string, x0 double, y0 double, x1 double, y1 double",
+    "ocr_lines": "doc_id long, page int, text string, confidence double, x0 double, y0 double, x1 double, y1 double",
+    "glyphs": "doc_id long, page int, char string, font string, size double, baseline double, x0 double, y0 double, x1 double, y1 double",
     "page_lines": "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, page_w double, page_h double",
 }
 LARGEST_FILE = 50 << 20

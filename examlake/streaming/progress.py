@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,54 +14,62 @@ from examlake.operators import corpus
 from examlake.operators.usage import usage_tokens
 from examlake.sources import tables
 
-STATE = "total int, done int, current_no int, partial string, status string, error string, last_seq long"
-OUT = f"job_id long, {STATE}"
+FIELDS = "total int, done int, current_no int, partial string, status string, error string, last_seq long"
+OUT = f"job_id long, {FIELDS}"
 EXPIRE_MS = 24 * 3600 * 1000
-
-
-def _fold(state: tuple, rows: pd.DataFrame) -> tuple:
-    """The events of one job, in the order of seq, onto its state."""
-    total, done, current, partial, status, error, last = state
-    for seq, kind, no, n, text in rows.sort_values("seq")[["seq", "event", "no", "total", "text"]].itertuples(index=False):
-        if last is not None and seq <= last:
-            continue  # seen already: a replay
-        last = int(seq)
-        if kind == "start":
-            total, status = (int(n) if pd.notna(n) else total), "running"
-        elif kind == "problem":
-            current, partial = (int(no) if pd.notna(no) else None), ""
-        elif kind == "delta":
-            partial += text if isinstance(text, str) else ""
-        elif kind in ("done", "error"):
-            done, partial = done + 1, ""
-            error = (text if isinstance(text, str) else error) if kind == "error" else error
-        elif kind == "end":
-            status, current = "done", None
-    return total, done, current, partial, status, error, last
-
-
-_START = (0, 0, None, "", "queued", None, None)
+#: What a job's state is before its first event: each value with the seq that set it, pieces of text since the last boundary, and all seqs seen.
+_START = {"total": [0, None], "current": [None, None], "mark": ["queued", None], "error": [None, None], "boundary": None, "pieces": {}, "done": 0, "seen": []}
+
+
+def _later(a: int | None, b: int) -> bool:
+    return a is None or b > a
+
+
+def _fold(state: dict, rows: pd.DataFrame) -> dict:
+    """Events of one job onto its state, in whatever order they come: an event seen before is a replay, a late one counts as if it had come in time."""
+    seen = set(state["seen"])
+    for seq, kind, no, n, text in rows[["seq", "event", "no", "total", "text"]].itertuples(index=False):
+        seq, text = int(seq), text if isinstance(text, str) else None
+        if seq in seen:
+            continue
+        seen.add(seq)
+        if kind == "start" and pd.notna(n) and _later(state["total"][1], seq):
+            state["total"] = [int(n), seq]
+        if kind in ("problem", "end") and _later(state["current"][1], seq):
+            state["current"] = [int(no) if kind == "problem" and pd.notna(no) else None, seq]
+        if kind in ("start", "end") and _later(state["mark"][1], seq):
+            state["mark"] = ["done" if kind == "end" else "running", seq]
+        if kind == "error" and text is not None and _later(state["error"][1], seq):
+            state["error"] = [text, seq]
+        if kind in ("problem", "done", "error") and _later(state["boundary"], seq):
+            state["boundary"] = seq
+            state["pieces"] = {k: t for k, t in state["pieces"].items() if int(k) > seq}
+        if kind == "delta" and text and _later(state["boundary"], seq):
+            state["pieces"][str(seq)] = text
+        state["done"] += kind in ("done", "error")
+    state["seen"] = sorted(seen)
+    return state
+
+
+def _shown(state: dict) -> list:
+    partial = "".join(state["pieces"][k] for k in sorted(state["pieces"], key=int))
+    return [state["total"][0], state["done"], state["current"][0], partial, state["mark"][0], state["error"][0], state["seen"][-1] if state["seen"] else None]
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """X1, X2 as a stream: events (job_id, seq, event, no, total, text) to the state of each job after each batch. A finished job's state goes at once, an abandoned one's after a day."""
+    """X1, X2 as a stream: events (job_id, seq, event, no, total, text) to the state of each job after each batch, the same as ``progress_batch`` gives for all events so far. A job's state goes a day after its last event, so late ones find it."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        now = state.get if state.exists else _START
-        rows = pd.concat(list(parts))
-        now = _fold(now, rows)
-        if now[4] == "done":
-            state.exists and state.remove()
-        else:
-            state.update(now)
-            state.setTimeoutDuration(EXPIRE_MS)
-        yield pd.DataFrame([[key[0], *now]], columns=["job_id", *(c.split()[0] for c in STATE.split(", "))])
-
-    return events.groupBy("job_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+        now = _fold(json.loads(state.get[0]) if state.exists else copy.deepcopy(_START), pd.concat(list(parts)))
+        state.update((json.dumps(now),))
+        state.setTimeoutDuration(EXPIRE_MS)
+        yield pd.DataFrame([[key[0], *_shown(now)]], columns=["job_id", *(c.split()[0] for c in FIELDS.split(", "))])
+
+    return events.groupBy("job_id").applyInPandasWithState(step, OUT, "state string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def progress_batch(events: DataFrame) -> DataFrame:

@@ -88,6 +88,17 @@ def test_tree_with_cycle_and_orphan(spark):
     assert {r["node_id"]: r["depth"] for r in tree.with_depth(n).collect()} == {"a": 0, "b": 1, "c": 2, "x": 0, "y": 0, "o": 0}
     assert sorted(r["node_id"] for r in tree.closure(n, n.filter("node_id in ('b', 'x')")).collect()) == ["b", "c", "x", "y"]
     assert {r["node_id"]: r["path"] for r in tree.paths(n).collect()}["c"] == ["A", "B", "C"]
+    below = n.unionAll(spark.createDataFrame([("z", "file", "x", "Z", "exam"), ("zz", "file", "z", "ZZ", "exam")], n.schema))
+    long = spark.createDataFrame([(str(i), "folder", str(i - 1) if i else None, "n", "exam") for i in range(50)], n.schema)
+    assert {r["node_id"]: r["depth"] for r in tree.with_depth(below).collect()}["zz"] == 2
+    assert {int(r["node_id"]): r["depth"] for r in tree.with_depth(long).collect()} == {i: i for i in range(50)}
+
+
+def test_tree_order(spark):
+    names = ["a1234567890123", "a123456789012", "a2", "a10", "A002", "b", "나", "가12", "가2"]
+    rows = [(str(i), "file", x) for i, x in enumerate(names)] + [("f", "folder", "z")]
+    got = tree.tree_order(spark.createDataFrame(rows, "node_id string, type string, name string").withColumn("parent_id", F.lit("p")), ["parent_id"]).orderBy("place").collect()
+    assert [r["name"] for r in got] == ["z", "A002", "a2", "a10", "a123456789012", "a1234567890123", "b", "가2", "가12", "나"]
 
 
 def test_labels_and_dedup(spark):
@@ -97,6 +108,8 @@ def test_labels_and_dedup(spark):
     rows = spark.createDataFrame([(1, "1. a"), (2, "2) a"), (3, " ")], "seq long, raw_text string")
     good, bad = corpus.hashed(rows)
     assert [r["is_stored"] for r in corpus.deduplicated(good, ["seq"]).orderBy("seq").collect()] == [True, False] and bad.count() == 1
+    none = good.withColumn("seq", F.lit(None).cast("long"))
+    assert [r["is_stored"] for r in corpus.deduplicated(none, ["seq"]).collect()] == [True, True]
 
 
 def test_label_blocks_and_rows(spark):
@@ -126,16 +139,8 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
-def test_glyph_fraction(spark):
-    g = spark.createDataFrame([(1, 1, "1", 10.0, 10.0, 14.0, 80.0, 90.0, 90.0, None), (1, 1, "2", 10.0, 10.0, 14.0, 106.0, 116.0, 116.0, None), (1, 1, "b", 10.0, 8.0, 16.0, 98.0, 99.0, 99.0, 109)], "doc_id long, no int, char string, size double, x0 double, x1 double, y0 double, y1 double, baseline double, offset int")
-    g = g.withColumns({"latex": F.when(F.col("offset") == 109, "-").otherwise(F.col("char")), "known": F.lit(True), "certain": F.lit(True), "body": F.lit(20.0)})
-    none = spark.createDataFrame([], "doc_id long, no int, graphics_reason string")
-    row = glyphs.decoded(g, none).first()
-    assert (row["latex"], row["ok"]) == (r"\frac{1}{2}", True)
-
-
 def test_stream_equals_batch(spark, tmp_path):
-    events = [(1, 1, "start", None, 2, None), (1, 2, "problem", 5, None, None), (1, 3, "delta", None, None, "ab"), (1, 4, "error", None, None, "e"), (1, 5, "problem", 6, None, None), (1, 6, "delta", None, None, "c"), (2, 7, "start", None, 1, None), (2, 8, "done", None, None, None)]
+    events = [(1, 8, "delta", None, None, "late"), (1, 1, "start", None, 2, None), (1, 2, "problem", 5, None, None), (1, 3, "delta", None, None, "ab"), (1, 4, "error", None, None, "e"), (1, 5, "problem", 6, None, None), (1, 6, "delta", None, None, "c"), (2, 7, "start", None, 1, None), (2, 8, "done", None, None, None)]
     schema = "job_id long, seq long, event string, no int, total int, text string"
     spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     q = progress.progress(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("progress").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
@@ -144,6 +149,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.table("progress").select(*columns).collect()) == sorted(progress.progress_batch(spark.createDataFrame(events, schema)).select(*columns).collect())
 
 
+def test_late_events_and_replays_count_as_in_the_batch(spark):
+    """Any order and any cut into batches gives the batch twin's row; an event that comes twice counts once."""
+    import copy
+
+    import pandas as pd
+
+    rng = random.Random(3)
+    kinds = ["start", "problem", "delta", "done", "error", "end"]
+    for _ in range(6):
+        events = [(1, k, rng.choice(kinds), rng.choice([None, rng.randint(1, 9)]), rng.choice([None, rng.randint(1, 9)]), rng.choice([None, f"t{k};"])) for k in range(14)]
+        frame = pd.DataFrame(events, columns=["job_id", "seq", "event", "no", "total", "text"])
+        want = progress.progress_batch(spark.createDataFrame(events, "job_id long, seq long, event string, no int, total int, text string")).first()
+        for _ in range(5):
+            mixed = frame.sample(frac=1, random_state=rng.randint(0, 99))
+            state = copy.deepcopy(progress._START)
+            for a in range(0, 14, 5):
+                state = progress._fold(state, pd.concat([mixed.iloc[a : a + 5], mixed.iloc[:2]]))
+            assert progress._shown(state) == [want[c.split()[0]] for c in progress.FIELDS.split(", ")]
+
+
 def test_incremental_dedup(spark, tmp_path):
     (tmp_path / "in").mkdir()
     schema = "seq long, problem_id long, raw_text string"
