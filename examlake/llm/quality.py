@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ from examlake.llm.shared import slices, smallest, text_of, with_results, written
 from examlake.llm.words import NON_SPACE, _span_hashes, mixed, words
 
 SAMPLE, BITS, STEPS, KEEP = 12_000, 18, 300, 0.8
+#: Bytes of text whose features are made at once, and features of one piece of a sum.
+SLICE, _PIECE = 2 << 20, 1 << 20
 #: Words of the longest text that is learned from, and of all.
 LONGEST, MOST_WORDS = 100_000, 10_000_000
 #: Texts that a feature must stand in to get a weight, and how the weights are fitted.
@@ -89,7 +90,10 @@ def likelihood(x: np.ndarray, theta: np.ndarray, row: np.ndarray, column: np.nda
     """Mean weighted loss -log(P(>= grade) - P(> grade)) with its ridge, and its gradients by weights ``x`` and by ``theta``: the first threshold and the log of the gap to the second, so they stay in order."""
     n, at = len(grade), np.arange(len(grade))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    eta = np.bincount(row, x[column] * value, n)
+    parts = [slice(a, a + _PIECE) for a in range(0, len(row), _PIECE)]  # what is made of a feature is made of a few at once
+    eta = np.zeros(n)
+    for s in parts:
+        eta += np.bincount(row[s], x[column[s]] * value[s], n)
     cut = np.array([theta[0], theta[0] + np.exp(theta[1])])
     above = np.stack([np.ones(n), sigmoid(eta - cut[0]), sigmoid(eta - cut[1]), np.zeros(n)])
     slope = above * (1 - above)
@@ -97,7 +101,10 @@ def likelihood(x: np.ndarray, theta: np.ndarray, row: np.ndarray, column: np.nda
     d_eta = weight * (slope[grade + 1, at] - slope[grade, at]) / p / n
     d_cut = np.array([np.sum(weight * (np.where(grade == j, slope[j, at], 0) - np.where(grade == j - 1, slope[j, at], 0)) / p) / n for j in (1, 2)])
     loss = -np.sum(weight * np.log(p)) / n + ridge / 2 * np.sum(x**2)
-    return loss, np.bincount(column, d_eta[row] * value, len(x)) + ridge * x, np.array([d_cut.sum(), d_cut[1] * np.exp(theta[1])])
+    g = ridge * x
+    for s in parts:
+        g += np.bincount(column[s], d_eta[row[s]] * value[s], len(x))
+    return loss, g, np.array([d_cut.sum(), d_cut[1] * np.exp(theta[1])])
 
 
 def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, bits: int = BITS, steps: int = STEPS, ridge: float = RIDGE, rate: float = RATE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +113,12 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarr
     n, w = len(grade), np.zeros(1 << bits)
     theta = np.array([-1.0, np.log(2.0)])
     # a feature of few texts says nothing about others
-    texts = np.bincount(feature, minlength=1 << bits)[feature]
-    row, feature, value = (x[texts >= least] for x in (row, feature, value))
-    used, column = np.unique(feature, return_inverse=True)
+    used = np.flatnonzero(np.bincount(feature, minlength=1 << bits) >= max(least, 1))
+    place = np.full(1 << bits, -1, np.int32)
+    place[used] = np.arange(len(used))
+    column = place[feature]
+    some = column >= 0
+    row, column, value = row[some], column[some], value[some]
     x = np.zeros(len(used))
     x_before, theta_before = x, theta
     share = np.bincount(grade, minlength=k + 1)
@@ -137,19 +147,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = texts.join(F.broadcast(few), "id", "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             t, f, v = features(text_of(batch, "text"), bits)
             ends = np.searchsorted(t, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (f.astype(np.int32), v.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["id", "grade", "f", "v"])
 
-    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").drop_duplicates("id")
-        n = rows["f"].str.len().to_numpy()
-        w, cut = fit(np.repeat(np.arange(len(rows)), n), np.concatenate([np.asarray(x, np.int64) for x in rows["f"]]), np.concatenate([np.asarray(x, np.float64) for x in rows["v"]]), rows["grade"].to_numpy(np.int64), bits)
-        return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "cut": [cut.astype(np.float64).tobytes()]})
-
-    model = texts.select("id", "text", "grade").mapInArrow(hashed, "id long, grade int, f array<int>, v array<float>").groupBy().applyInPandas(fitted, "w binary, cut binary").collect()
+    def fitted(rows: pa.Table) -> pa.Table:
+        ids = rows.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        order = order[np.diff(ids[order], prepend=ids[order[:1]] - 1) != 0]  # one text of each id
+        rows = rows.take(pa.array(order)).combine_chunks()
+        f, v = (rows.column(c).chunk(0) for c in ("f", "v"))
+        n = np.diff(f.offsets.to_numpy())
+        w, cut = fit(np.repeat(np.arange(len(n), dtype=np.int32), n), f.flatten().to_numpy(), v.flatten().to_numpy(), rows.column("grade").to_numpy().astype(np.int64), bits)
+        return pa.table({"w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "cut": pa.array([cut.astype(np.float64).tobytes()], pa.binary())})
+
+    model = texts.select("id", "text", "grade").mapInArrow(hashed, "id long, grade int, f array<int>, v array<float>").groupBy().applyInArrow(fitted, "w binary, cut binary").collect()
     return (np.frombuffer(bytes(model[0]["w"]), np.float32), np.frombuffer(bytes(model[0]["cut"]), np.float64)) if model else None
 
 
@@ -163,7 +177,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, cut = sent.value
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             t, f, v = features(text_of(batch, text_col), bits)
             eta = np.bincount(t, w[f] * v, batch.num_rows)
             some = np.bincount(t, minlength=batch.num_rows) > 0
