@@ -2,7 +2,7 @@
 
 The vocabulary file (a parameter) names the normaliser and the splitting rule, which its library applies to a word;
 merging is done here. White space (20, 09-0D) always ends a piece, so texts are taken word by word and each task keeps
-the counts of the words it met, up to ``CACHE`` of them, none longer than ``LONGEST``: some 50 MB at any input.
+the counts of the words it met, up to ``CACHE`` of them, none longer than ``LONGEST``: some 100 MB at any input.
 
 Defined results: null is the empty text, which has no tokens; strings of special tokens count as one each, as the
 library takes them by default; nothing is truncated or padded; repeated rows give repeated rows; columns named n_bytes
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from examlake.llm.shared import slices, text_of, with_results
 
 #: Words, and pieces of words, whose counts a task keeps at once, and the length of the longest kept (bytes of words, characters of pieces).
-CACHE, LONGEST = 200_000, 64
+CACHE, LONGEST = 400_000, 64
 
 
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
