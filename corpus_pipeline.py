@@ -23,10 +23,25 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of documents linked by a Jaccard similarity of 0.75 of five-word shingles, the one of the smallest id; of rows alike, one."""
+    """Keeps, of documents linked by a Jaccard similarity of 0.75 of five-word shingles, the one of the smallest id.
+
+    Of rows of one id and text one stays, the first by its other columns; rows without an id link with nothing, so of each text one stays.
+    Rows of one id and different texts go by their id.
+    """
     groups = ngram_join.jaccard_groups(docs.select("doc_id", "text"))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = written(groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
+    once = docs.join(kept.filter("n = 1"), "doc_id", "left_semi")
+    repeated = docs.join(kept.filter("n > 1"), "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    return once.unionByName(_one_of_alike(repeated)).select(*docs.columns)
+
+
+def _one_of_alike(rows: DataFrame) -> DataFrame:
+    """Of rows of one id and text, the one whose other columns come first as JSON; combined by each task before the shuffle."""
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    if not others:
+        return rows.distinct()
+    rest = F.struct(*others)
+    return rows.groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest)).alias("rest")).select("doc_id", "text", *(F.col("rest")[c].alias(c) for c in others))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
