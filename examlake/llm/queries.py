@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlake.llm import decontaminate, embeddings, html, licenses, mixing, ngram_join, quality, secrets, substring_dedup, token_counts
+from examlake.llm import centroids, decontaminate, embeddings, html, licenses, mixing, ngram_join, packing, quality, resampling, secrets, substring_dedup, token_counts
 from examlake.llm.shared import table
 
 TOKEN_LIMIT = 2048
@@ -70,9 +70,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.clustered(table(spark, sf_dir, "embeddings")))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), TOKEN_LIMIT)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_ngram_jaccard_join, op3_quality_classifier, op4_benchmark_decontamination, op5_substring_dedup, op6_secret_scan, op7_embedding_near_dedup, op8_license_scan, op9_html_extraction, op10_source_mixing)
+    for f in (op1_token_counts, op2_ngram_jaccard_join, op3_quality_classifier, op4_benchmark_decontamination, op5_substring_dedup, op6_secret_scan, op7_embedding_near_dedup, op8_license_scan, op9_html_extraction, op10_source_mixing, op11_centroid_clustering, op12_best_fit_packing, op13_importance_resampling)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -116,8 +116,8 @@ def sequence_hash(h: np.ndarray) -> int:
     return int(mixed(np.array([np.sum(h * _powers(_WORD, len(h)), dtype=np.uint64)]))[0])
 
 
-def words(texts: pa.Array, is_word: np.ndarray = NON_SPACE, lower: bool = False) -> Words:
-    """Words of a string array without nulls. ``lower``: A-Z are lower-cased first."""
+def cuts(texts: pa.Array, is_word: np.ndarray = NON_SPACE, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a string array without nulls, where its words start and end in them, and the number of each text's first word (and of all words). ``lower``: A-Z are lower-cased first."""
     wide = pa.types.is_large_string(texts.type)
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = texts.buffers()[2]
@@ -128,7 +128,7 @@ def words(texts: pa.Array, is_word: np.ndarray = NON_SPACE, lower: bool = False)
     inside = is_word[data]
     if not len(inside):
         none = np.zeros(0, np.int64)
-        return Words(data, np.zeros(0, np.uint64), none, none, np.zeros(len(texts) + 1, np.int64))
+        return data, none, none, np.zeros(len(texts) + 1, np.int64)
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -136,4 +136,10 @@ def words(texts: pa.Array, is_word: np.ndarray = NON_SPACE, lower: bool = False)
     begins[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, _span_hashes(data, start, end), start, end, np.searchsorted(start, offsets))
+    return data, start, end, np.searchsorted(start, offsets)
+
+
+def words(texts: pa.Array, is_word: np.ndarray = NON_SPACE, lower: bool = False) -> Words:
+    """Words of a string array without nulls, with their hashes."""
+    data, start, end, first = cuts(texts, is_word, lower)
+    return Words(data, _span_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64), start, end, first)
