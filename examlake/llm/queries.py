@@ -90,7 +90,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _clusters_sql(rounds: int = 5) -> str:
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, min((d, c)) AS m FROM (SELECT x.row, c.c, {distance}::BIGINT AS d FROM k x, c{r} c) GROUP BY row)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT m[2] AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{r} JOIN k USING (row), range(1, 65) t(i) GROUP BY ALL)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(w, v) AS v FROM c{r} LEFT JOIN (SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS w FROM s{r} GROUP BY c) USING (c))")
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM k) ORDER BY h, v LIMIT 40),
+{", ".join(steps)},
+f AS (SELECT vec_id, m[2] AS c, m[1] AS d FROM a{rounds} JOIN k USING (row))
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} USING (c)"""
+
+
+#: Words, and the CRC-32 of words by its table.
+_CRC32 = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS MATERIALIZED (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) % 10000 AS bucket FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM d UNION SELECT w FROM b)), crc)"""
+
 ORACLES: dict[str, str] = {
+    "op11_centroid_clustering": _clusters_sql(),
+    "op13_importance_resampling": rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT row, unnest(ws) AS w FROM docs), b AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+{_CRC32},
+s AS (SELECT bucket, count(*) AS s FROM d JOIN h USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN h USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT row, sum(gain) AS total, count(*) AS n FROM d JOIN h USING (w) JOIN g USING (bucket) GROUP BY row),
+x AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((total - (total % n + n) % n) // n, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS u FROM docs LEFT JOIN m USING (row)),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_features >= 20 AS able FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 10 * n // 100 THEN place END AS rank FROM r""",
     "op2_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
