@@ -71,8 +71,36 @@ def d8_cascade_note_items(spark, d):
     return merge.cascaded({"note_items": items}, gone)["note_items"]
 
 
-@query("""WITH n AS (SELECT c_custkey, c_nationkey, c_custkey % 3 = 0 AS folder, ((c_custkey % 1000)::HUGEINT * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 100000000000000 END) AS k FROM customer)
-SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN folder THEN 0 ELSE 1 END, k, c_custkey::VARCHAR) AS place FROM n""")
+#: Names in both scripts: Hangul comes first, then Chinese signs, then Latin letters, of which case and accents do not count; numbers go by value.
+_NAMES = ("c_custkey", "c_nationkey", "cast(c_custkey as string) as node_id", "if(c_custkey % 3 = 0, 'folder', 'file') as type", "concat(elt(c_custkey % 8 + 1, '가', '나', '漢', 'a', 'e', 'É', 'f', 'Z'), lpad('', c_custkey % 4, '0'), c_custkey % 100, if(c_custkey % 5 = 0 and c_custkey % 100 > 0, '00000000000000', ''), '장') as name")
+
+
+@query("""WITH n AS (SELECT c_custkey, c_nationkey, c_custkey % 3 = 0 AS folder, CASE WHEN c_custkey % 8 > 4 THEN c_custkey % 8 - 1 ELSE c_custkey % 8 END AS head, ((c_custkey % 100)::HUGEINT * CASE WHEN c_custkey % 5 = 0 THEN 100000000000000 ELSE 1 END) AS k,
+  ['가', '나', '漢', 'a', 'e', 'É', 'f', 'Z'][c_custkey % 8 + 1] || repeat('0', (c_custkey % 4)::INT) || (c_custkey % 100) || CASE WHEN c_custkey % 5 = 0 AND c_custkey % 100 > 0 THEN '00000000000000' ELSE '' END || '장' AS name FROM customer)
+SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN folder THEN 0 ELSE 1 END, head, k, name, c_custkey::VARCHAR) AS place FROM n""")
 def o4_tree_order(spark, d):
-    c = I.table(spark, d, "customer").selectExpr("c_custkey", "c_nationkey", "cast(c_custkey as string) as node_id", "if(c_custkey % 3 = 0, 'folder', 'file') as type", "concat('A', lpad('', c_custkey % 4, '0'), c_custkey % 1000, if(c_custkey % 2 = 0 or c_custkey % 1000 = 0, '', '00000000000000'), '장') as name")
-    return tree.tree_order(c.withColumn("name", F.regexp_replace("name", "^A0+(?=[0-9])", "A")), ["c_nationkey"]).select("c_custkey", F.col("place").cast("long").alias("place"))
+    return tree.tree_order(I.table(spark, d, "customer").selectExpr(*_NAMES), ["c_nationkey"]).select("c_custkey", "place")
+
+
+#: Folders with names in both scripts, by the number in the name and the script.
+_SCRIPT_SQL = """named AS (SELECT node_id, type, CASE WHEN node_id LIKE 's%' AND substr(node_id, 2)::INT % 11 = 3 THEN NULL ELSE parent_id END AS parent_id, section,
+  CASE WHEN substr(node_id, 2)::INT % 3 = 0 THEN '단원 ' ELSE 'Unit ' END || substr(node_id, 2) AS name, substr(node_id, 2)::INT % 3 > 0 AS latin, substr(node_id, 2)::INT AS k FROM nodes WHERE type = 'folder'),
+moving AS (SELECT node_id FROM nodes WHERE node_id LIKE 's%' AND substr(node_id, 2)::INT % 7 = 2 UNION SELECT 'n3')"""
+
+
+def _named(spark, d):
+    n = I.nodes(spark, d)
+    k = "cast(substr(node_id, 2) as int)"
+    return n.selectExpr("node_id", "type", f"case when node_id like 's%' and {k} % 11 = 3 then null else parent_id end as parent_id", "section", f"if(type = 'file', name, concat(if({k} % 3 = 0, '단원 ', 'Unit '), {k})) as name")
+
+
+@query(f"""WITH RECURSIVE {I.NODES_SQL}, {_SCRIPT_SQL},
+own AS (SELECT f.*, p.node_id AS up FROM named f LEFT JOIN named p ON p.node_id = f.parent_id AND p.section = 'exam' WHERE f.section = 'exam'),
+down AS (SELECT node_id, 0 AS depth, [(latin, k, node_id)] AS way FROM own WHERE up IS NULL UNION ALL SELECT o.node_id, d.depth + 1, list_append(d.way, (o.latin, o.k, o.node_id)) FROM down d JOIN own o ON o.up = d.node_id),
+below AS (SELECT node_id FROM moving UNION SELECT n.node_id FROM below b JOIN named n ON n.parent_id = b.node_id),
+here AS (SELECT min(parent_id) AS id FROM named WHERE node_id IN (SELECT node_id FROM moving) HAVING count(DISTINCT parent_id) = 1 AND count(*) = count(parent_id))
+SELECT row_number() OVER (ORDER BY way) AS place, node_id, name, depth::INT AS depth, CASE WHEN node_id IN (SELECT node_id FROM moving) THEN 'self' WHEN node_id IN (SELECT node_id FROM below) THEN 'descendant' WHEN node_id = (SELECT id FROM here) THEN 'current' END AS reason
+FROM down JOIN own USING (node_id) UNION ALL SELECT 0, NULL, '(최상위)', 0, NULL""")
+def t6_move_targets(spark, d):
+    n = _named(spark, d)
+    return tree.move_targets(n, n.filter("node_id = 'n3' or (node_id like 's%' and cast(substr(node_id, 2) as int) % 7 = 2)").select("node_id"), "exam")

@@ -98,7 +98,7 @@ def test_tree_order(spark):
     names = ["a1234567890123", "a123456789012", "a2", "a10", "A002", "b", "나", "가12", "가2"]
     rows = [(str(i), "file", x) for i, x in enumerate(names)] + [("f", "folder", "z")]
     got = tree.tree_order(spark.createDataFrame(rows, "node_id string, type string, name string").withColumn("parent_id", F.lit("p")), ["parent_id"]).orderBy("place").collect()
-    assert [r["name"] for r in got] == ["z", "A002", "a2", "a10", "a123456789012", "a1234567890123", "b", "가2", "가12", "나"]
+    assert [r["name"] for r in got] == ["z", "가2", "가12", "나", "A002", "a2", "a10", "a123456789012", "a1234567890123", "b"]
 
 
 def test_labels_and_dedup(spark):
