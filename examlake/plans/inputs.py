@@ -121,11 +121,17 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when o_orderkey % 4 <> 0 then t end as targets", "case when o_orderkey % 3 = 1 then case when o_orderkey % 2 = 0 then array('number') else array('number', 'condition') end end as modes", "o_orderdate as created_at", "cast(o_orderkey % 9 as int) as current_no")
 
 
-#: Job events: events of a user are a job's, in order.
-EVENTS_SQL = """ev AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'problem' WHEN 'click' THEN 'delta' WHEN 'purchase' THEN 'done' ELSE 'error' END AS event,
-  json_extract_string(props, '$.k')::INT AS k FROM events)"""
+#: Job events: events of a user are a job's, in order; some ends of every kind and some snapshots. ``k`` is in the data under the names that the event has.
+EVENTS_SQL = """ev AS (SELECT user_id AS job_id, event_id AS seq, k, CASE event_type WHEN 'signup' THEN CASE WHEN k % 7 = 0 THEN 'snapshot' ELSE 'start' END WHEN 'view' THEN 'problem' WHEN 'click' THEN 'delta' WHEN 'purchase' THEN 'done' ELSE CASE WHEN k % 5 = 0 THEN 'end' ELSE 'error' END END AS event,
+  CASE k % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'canceled' WHEN 2 THEN 'error' END AS end_status FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events))"""
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
-    return e.selectExpr("user_id as job_id", "event_id as seq", "case event_type when 'signup' then 'start' when 'view' then 'problem' when 'click' then 'delta' when 'purchase' then 'done' else 'error' end as event", """concat('{"no": ', k, ', "total": ', k, ', "text": "', k, ';"}') as data""")
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).selectExpr(
+        "user_id as job_id", "event_id as seq", "k",
+        "case event_type when 'signup' then if(k % 7 = 0, 'snapshot', 'start') when 'view' then 'problem' when 'click' then 'delta' when 'purchase' then 'done' else if(k % 5 = 0, 'end', 'error') end as event")
+    data = """case event when 'start' then concat('{"total": ', k, '}') when 'problem' then concat('{"no": ', k, if(k % 2 = 0, ', "route": "pua"', ''), '}') when 'delta' then concat('{"no": ', k, ', "text": "', k, ';"}')
+      when 'done' then concat('{"no": ', k, if(k % 3 = 0, ', "transcript": null, "note": "n"', if(k % 3 = 1, concat(', "transcript": "t', k, '", "source": "ai"'), '')), '}') when 'error' then concat('{"no": ', k, if(k % 3 = 0, '', concat(', "message": "', k, ';"')), '}')
+      when 'end' then if(k % 4 = 3, '', concat('{"status": "', elt(k % 4 + 1, 'done', 'canceled', 'error'), '"', if(k % 4 = 2, concat(', "message": "failed ', k, '"'), ''), '}'))
+      else concat('{"status": "running", "total": ', k, ', "done_count": ', k % 4, ', "current_no": ', k % 6, ', "partial_text": "s', k, '"}') end"""
+    return e.selectExpr("job_id", "seq", "event", f"{data} as data")

@@ -245,7 +245,11 @@ def s4_upload_errors(spark, d):
     return p.select("page_id", tables.upload_error(F.length("content"), F.substring("content", 1, 4)).alias("reason"))
 
 
-@query(f"WITH {I.EVENTS_SQL} SELECT seq, event AS type, k AS no, k AS total, k || ';' AS text, false AS has_transcript FROM ev")
+@query(f"""WITH {I.EVENTS_SQL} SELECT seq, event AS type, CASE event WHEN 'snapshot' THEN k % 6 WHEN 'start' THEN NULL WHEN 'end' THEN NULL ELSE k END AS no, CASE WHEN event IN ('start', 'snapshot') THEN k END AS total,
+  CASE event WHEN 'delta' THEN k || ';' WHEN 'snapshot' THEN 's' || k END AS text, CASE event WHEN 'problem' THEN 'running' WHEN 'snapshot' THEN 'running' WHEN 'end' THEN end_status END AS status,
+  CASE WHEN event = 'error' THEN CASE WHEN k % 3 = 0 THEN '알 수 없는 오류가 발생했습니다.' ELSE k || ';' END WHEN event = 'end' AND k % 4 = 2 THEN 'failed ' || k END AS message, CASE event WHEN 'error' THEN 'unknown' END AS error_code,
+  CASE event WHEN 'snapshot' THEN k % 4 END AS done_count, CASE WHEN event = 'problem' AND k % 2 = 0 THEN 'pua' END AS route, CASE WHEN event = 'done' AND k % 3 = 1 THEN 't' || k END AS transcript, CASE WHEN event = 'done' AND k % 3 = 1 THEN 'ai' END AS source,
+  CASE WHEN event = 'done' AND k % 3 = 0 THEN 'n' END AS note, event = 'done' AND k % 3 < 2 AS has_transcript FROM ev""")
 def s5_job_events(spark, d):
     e = I.job_events(spark, d)
-    return e.select("seq", tables.job_event(F.col("event"), F.col("data")).alias("e")).select("seq", "e.type", "e.no", "e.total", "e.text", "e.has_transcript")
+    return e.select("seq", tables.job_event(F.col("event"), F.col("data")).alias("e")).select("seq", "e.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from examlake.operators import threads, usage
 from examlake.plans import inputs as I
 from examlake.plans.catalog import query
-from examlake.streaming import progress
+from examlake.streaming import jobs, progress
 
 NOW = "timestamp '2024-01-20 00:00:00'"
 
@@ -99,18 +99,23 @@ def j13_chat_context(spark, d):
     return threads.chat_context(I.chat(spark, d), p, solutions).select("seq", F.sha2("context", 256).alias("context_sha"))
 
 
-_FOLD = f"""WITH {I.EVENTS_SQL}, p AS (SELECT *, sum((event IN ('problem', 'done', 'error'))::INT) OVER (PARTITION BY job_id ORDER BY seq) AS piece FROM ev),
-l AS (SELECT job_id, coalesce(arg_max(k, seq) FILTER (event = 'start'), 0)::INT AS total, count(*) FILTER (event IN ('done', 'error'))::INT AS done, arg_max(k, seq) FILTER (event = 'problem') AS current_no, count(*) FILTER (event = 'start') AS starts,
-  arg_max(k, seq) FILTER (event = 'error') AS err, max(seq) AS last_seq, max(piece) AS piece FROM p GROUP BY job_id), t AS (SELECT job_id, piece, string_agg(k || ';', '' ORDER BY seq) AS partial FROM p WHERE event = 'delta' GROUP BY job_id, piece)
-SELECT l.job_id, total, done, current_no, coalesce(partial, '') AS partial, CASE WHEN starts > 0 THEN 'running' ELSE 'queued' END AS status, err || ';' AS error, last_seq FROM l LEFT JOIN t USING (job_id, piece)"""
+_FOLD = f"""WITH {I.EVENTS_SQL}, b AS (SELECT *, max(seq) FILTER (event = 'snapshot') OVER (PARTITION BY job_id) AS base FROM ev),
+p AS (SELECT *, sum((event IN ('problem', 'done', 'error', 'snapshot'))::INT) OVER (PARTITION BY job_id ORDER BY seq) AS piece FROM b WHERE base IS NULL OR seq >= base),
+l AS (SELECT job_id, coalesce(arg_max(k, seq) FILTER (event IN ('start', 'snapshot')), 0)::INT AS total, (count(*) FILTER (event IN ('done', 'error')) + coalesce(max(k % 4) FILTER (event = 'snapshot'), 0))::INT AS done,
+  arg_max_null(CASE event WHEN 'problem' THEN k WHEN 'snapshot' THEN k % 6 END, seq) FILTER (event IN ('problem', 'end', 'snapshot')) AS current_no, coalesce(arg_max(CASE event WHEN 'end' THEN coalesce(end_status, 'done') ELSE 'running' END, seq) FILTER (event IN ('start', 'end', 'snapshot')), 'queued') AS status,
+  arg_max_null(CASE WHEN event = 'end' AND end_status = 'error' THEN 'failed ' || k END, seq) FILTER (event IN ('start', 'end', 'snapshot')) AS error, max(piece) AS piece FROM p GROUP BY job_id),
+w AS (SELECT job_id, arg_max(CASE WHEN k % 3 = 0 THEN '알 수 없는 오류가 발생했습니다.' ELSE k || ';' END, seq) FILTER (event = 'error') AS last_error, max(seq) AS last_seq FROM ev GROUP BY job_id),
+t AS (SELECT job_id, piece, string_agg(CASE event WHEN 'delta' THEN k || ';' ELSE 's' || k END, '' ORDER BY seq) AS partial FROM p WHERE event IN ('delta', 'snapshot') GROUP BY job_id, piece)
+SELECT l.job_id, total, done, current_no, coalesce(partial, '') AS partial, status, error, last_error, last_seq FROM l JOIN w USING (job_id) LEFT JOIN t USING (job_id, piece)"""
 
 
 @query(_FOLD)
 def s5_x1_x2_job_progress(spark, d):
-    return progress.progress_batch(progress.parsed_events(I.job_events(spark, d)))
+    events = progress.parsed_events(I.job_events(spark, d))
+    return jobs.progress_batch(events.unionAll(events.filter("event in ('done', 'delta')")))  # these come twice, and count once
 
 
-@query(f"WITH f AS ({_FOLD}), e AS (SELECT job_id % 50 AS node_id, done, total, (current_no IS NOT NULL)::INT AS r FROM f WHERE status = 'running') SELECT node_id, sum(done)::BIGINT AS done, sum(greatest(total, done + r))::BIGINT AS total FROM e GROUP BY node_id")
+@query(f"WITH f AS ({_FOLD}), e AS (SELECT job_id % 50 AS node_id, done, total, (current_no IS NOT NULL)::INT AS r FROM f WHERE status IN ('queued', 'running')) SELECT node_id, sum(done)::BIGINT AS done, sum(greatest(total, done + r))::BIGINT AS total FROM e GROUP BY node_id")
 def x3_exam_progress(spark, d):
-    jobs = progress.progress_batch(progress.parsed_events(I.job_events(spark, d))).selectExpr("job_id % 50 as node_id", "'solve' as kind", "status", "done", "total", "current_no")
-    return progress.exam_progress(jobs, "solve")
+    now = jobs.progress_batch(progress.parsed_events(I.job_events(spark, d))).selectExpr("job_id % 50 as node_id", "'solve' as kind", "status", "done", "total", "current_no")
+    return jobs.exam_progress(now, "solve")

@@ -30,7 +30,8 @@ SCHEMAS = {
     "page_lines": "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, page_w double, page_h double",
 }
 LARGEST_FILE = 50 << 20
-EVENTS = ("start", "problem", "delta", "done", "error", "end")
+EVENTS = ("snapshot", "start", "problem", "delta", "done", "error", "end")
+NO_MESSAGE = "알 수 없는 오류가 발생했습니다."
 
 
 def read(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
@@ -67,16 +68,30 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def job_event(event: Column, data: Column) -> Column:
-    """Type (unknown for an unreadable or unnamed one), number, text, total, transcript, and whether a transcript was given at all."""
+    """An event's fields by its type (unknown for an unreadable or unnamed one); what a type does not have is null.
+
+    ``no``: the number (of a snapshot: the current one). ``text``: what a delta adds, or a snapshot's partial text. ``transcript``, ``source`` and ``note`` stand in a done event with
+    any of transcript and note, as ``has_transcript`` says, for null is a finding there. ``route``: how a problem is read. ``status``: of a problem, snapshot or end.
+    """
     blank = F.coalesce(data, F.lit("")) == ""
     fields = F.when(blank, F.create_map().cast("map<string,string>")).otherwise(json_map(data))
-    known = event.isin(*EVENTS) & fields.isNotNull()
+    known = F.coalesce(event.isin(*EVENTS) & fields.isNotNull(), F.lit(False))
     get = lambda k: F.try_element_at(fields, F.lit(k))
+    of = lambda *kinds: known & event.isin(*kinds)
+    number = lambda k: get(k).try_cast("int")
+    read = of("done") & (F.map_contains_key(fields, "transcript") | F.map_contains_key(fields, "note"))
     return F.struct(
-        F.when(F.coalesce(known, F.lit(False)), event).otherwise("unknown").alias("type"),
-        F.when(known, get("no").try_cast("int")).alias("no"),
-        F.when(known, get("total").try_cast("int")).alias("total"),
-        F.when(known, get("text")).alias("text"),
-        F.when(known, get("transcript")).alias("transcript"),
-        F.coalesce(known & F.map_contains_key(fields, "transcript"), F.lit(False)).alias("has_transcript"),
+        F.when(known, event).otherwise("unknown").alias("type"),
+        F.when(of("snapshot"), number("current_no")).when(of("problem", "delta", "done", "error"), number("no")).alias("no"),
+        F.when(of("start"), number("total")).when(of("snapshot"), F.coalesce(number("total"), F.lit(0))).alias("total"),
+        F.when(of("delta"), F.coalesce(get("text"), F.lit(""))).when(of("snapshot"), F.coalesce(get("partial_text"), F.lit(""))).alias("text"),
+        F.when(of("problem", "snapshot"), F.coalesce(get("status"), F.lit("running"))).when(of("end"), get("status")).alias("status"),
+        F.when(of("error"), F.coalesce(get("message"), F.lit(NO_MESSAGE))).when(of("end"), get("message")).alias("message"),
+        F.when(of("error"), F.coalesce(get("error_code"), F.lit("unknown"))).alias("error_code"),
+        F.when(of("snapshot"), F.coalesce(number("done_count"), F.lit(0))).alias("done_count"),
+        F.when(of("problem"), get("route")).alias("route"),
+        F.when(read, get("transcript")).alias("transcript"),
+        F.when(read, get("source")).alias("source"),
+        F.when(read, get("note")).alias("note"),
+        F.coalesce(read, F.lit(False)).alias("has_transcript"),
     )

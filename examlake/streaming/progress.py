@@ -1,125 +1,111 @@
-"""Job progress, corpus dedup and usage totals as they arrive."""
+"""Corpus dedup and usage totals as they arrive, and the events of jobs (whose progress is in ``jobs``)."""
 
 from __future__ import annotations
 
-import copy
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from examlake.operators import corpus
 from examlake.operators.usage import usage_tokens
 from examlake.sources import tables
 
-FIELDS = "total int, done int, current_no int, partial string, status string, error string, last_seq long"
-OUT = f"job_id long, {FIELDS}"
-EXPIRE_MS = 24 * 3600 * 1000
-#: What a job's state is before its first event: each value with the seq that set it, pieces of text since the last boundary, and all seqs seen.
-_START = {"total": [0, None], "current": [None, None], "mark": ["queued", None], "error": [None, None], "boundary": None, "pieces": {}, "done": 0, "seen": []}
-
-
-def _later(a: int | None, b: int) -> bool:
-    return a is None or b > a
-
-
-def _fold(state: dict, rows: pd.DataFrame) -> dict:
-    """Events of one job onto its state, in whatever order they come: an event seen before is a replay, a late one counts as if it had come in time."""
-    seen = set(state["seen"])
-    for seq, kind, no, n, text in rows[["seq", "event", "no", "total", "text"]].itertuples(index=False):
-        seq, text = int(seq), text if isinstance(text, str) else None
-        if seq in seen:
-            continue
-        seen.add(seq)
-        if kind == "start" and pd.notna(n) and _later(state["total"][1], seq):
-            state["total"] = [int(n), seq]
-        if kind in ("problem", "end") and _later(state["current"][1], seq):
-            state["current"] = [int(no) if kind == "problem" and pd.notna(no) else None, seq]
-        if kind in ("start", "end") and _later(state["mark"][1], seq):
-            state["mark"] = ["done" if kind == "end" else "running", seq]
-        if kind == "error" and text is not None and _later(state["error"][1], seq):
-            state["error"] = [text, seq]
-        if kind in ("problem", "done", "error") and _later(state["boundary"], seq):
-            state["boundary"] = seq
-            state["pieces"] = {k: t for k, t in state["pieces"].items() if int(k) > seq}
-        if kind == "delta" and text and _later(state["boundary"], seq):
-            state["pieces"][str(seq)] = text
-        state["done"] += kind in ("done", "error")
-    state["seen"] = sorted(seen)
-    return state
-
-
-def _shown(state: dict) -> list:
-    partial = "".join(state["pieces"][k] for k in sorted(state["pieces"], key=int))
-    return [state["total"][0], state["done"], state["current"][0], partial, state["mark"][0], state["error"][0], state["seen"][-1] if state["seen"] else None]
-
-
-def progress(events: DataFrame) -> DataFrame:
-    """X1, X2 as a stream: events (job_id, seq, event, no, total, text) to the state of each job after each batch, the same as ``progress_batch`` gives for all events so far. A job's state goes a day after its last event, so late ones find it."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = _fold(json.loads(state.get[0]) if state.exists else copy.deepcopy(_START), pd.concat(list(parts)))
-        state.update((json.dumps(now),))
-        state.setTimeoutDuration(EXPIRE_MS)
-        yield pd.DataFrame([[key[0], *_shown(now)]], columns=["job_id", *(c.split()[0] for c in FIELDS.split(", "))])
-
-    return events.groupBy("job_id").applyInPandasWithState(step, OUT, "state string", "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def progress_batch(events: DataFrame) -> DataFrame:
-    """X1, X2 over stored events, with windows and aggregates only: one row for each job."""
-    job = Window.partitionBy("job_id").orderBy("seq")
-    ends = F.col("event").isin("problem", "done", "error")
-    pieces = events.withColumn("piece", F.sum(F.when(ends, 1).otherwise(0)).over(job.rowsBetween(Window.unboundedPreceding, 0)))
-    last = pieces.groupBy("job_id").agg(
-        F.coalesce(F.max_by(F.when(F.col("event") == "start", F.col("total")), F.when((F.col("event") == "start") & F.col("total").isNotNull(), F.col("seq"))), F.lit(0)).alias("total"),
-        F.count(F.when(F.col("event").isin("done", "error"), 1)).cast("int").alias("done"),
-        F.max_by(F.when(F.col("event") == "problem", F.col("no")), F.when(F.col("event").isin("problem", "end"), F.col("seq"))).alias("current_no"),
-        F.max_by("event", F.when(F.col("event").isin("start", "end"), F.col("seq"))).alias("mark"),
-        F.max_by("text", F.when((F.col("event") == "error") & F.col("text").isNotNull(), F.col("seq"))).alias("error"),
-        F.max("seq").alias("last_seq"),
-        F.max("piece").alias("piece"),
-    )
-    # the text since the last problem, done or error
-    tail = pieces.filter(F.col("event") == "delta").groupBy("job_id", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "").alias("partial"))
-    j = last.join(tail, ["job_id", "piece"], "left")
-    return j.select("job_id", "total", "done", "current_no", F.coalesce("partial", F.lit("")).alias("partial"), F.when(F.col("mark") == "end", "done").when(F.col("mark") == "start", "running").otherwise("queued").alias("status"), "error", "last_seq")
-
-
-def exam_progress(jobs: DataFrame, kind: str) -> DataFrame:
-    """By exam, jobs of a kind that are active: done, and the total, which is never below done plus the one running."""
-    active = jobs.filter((F.col("kind") == kind) & F.col("status").isin("queued", "running"))
-    running = F.when(F.col("current_no").isNotNull(), 1).otherwise(0)
-    return active.groupBy("node_id").agg(F.sum("done").cast("long").alias("done"), F.sum(F.greatest(F.col("total"), F.col("done") + running)).cast("long").alias("total"))
+DAY, WEEK = 24 * 3600, 7 * 24 * 3600
+WINDOWS = "day_tokens long, day_calls long, week_tokens long, week_calls long, tokens long, calls long"
 
 
 def dedup_into(path: str):
-    """The function for foreachBatch: new hashes are appended to the stored corpus, the first of each batch in order. A batch that comes again adds nothing."""
+    """The function for foreachBatch: new hashes are added to the stored corpus, the first of each batch in order.
+
+    The corpus lies by the first two digits of the hash and by epoch, so a batch reads the parts it has hashes of and no others; of each
+    stored row only the hash. An epoch's rows replace those of an earlier try of the same epoch, which its look at the corpus leaves out, so
+    a batch that comes again gives the same corpus. One stream writes to a path.
+    """
 
     def store(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         hashed, _ = corpus.hashed(batch)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-        stored = spark.read.parquet(path).select("content_hash") if there else None
-        new = corpus.deduplicated(hashed, ["seq"], stored, ["problem_id"]).filter("is_stored")
-        new.withColumn("epoch", F.lit(epoch)).drop("is_stored").write.mode("append").parquet(path)
+        hashed = hashed.withColumn("bucket", F.substring("content_hash", 1, 2)).persist()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            stored = None
+            if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+                touched = [r["bucket"] for r in hashed.select("bucket").distinct().collect()]  # at most 256
+                stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched) & (F.col("epoch") != epoch)).select("content_hash")
+            new = corpus.deduplicated(hashed, ["seq"], stored, ["problem_id"]).filter("is_stored").drop("is_stored")
+            new = new.withColumn("bucket", F.substring("content_hash", 1, 2)).withColumn("epoch", F.lit(epoch))
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(path)
+        finally:
+            hashed.unpersist()
 
     return store
 
 
 def usage_totals(calls: DataFrame, by: str = "origin") -> DataFrame:
-    """Tokens and calls so far, for a query in update or complete mode. Windows on "now" are a batch query over what is stored."""
+    """Tokens and calls so far, for a query in update or complete mode."""
     return calls.select(by, usage_tokens(F.col("usage_json")).alias("tokens")).filter("tokens is not null").groupBy(by).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls"))
 
 
+class UsageState(StatefulProcessor):
+    """The usage of the last day and week, by second, and of all time. Seconds older than a week go; a timer shows the row anew when the oldest of a window leaves it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getMapState("recent", "second long", "tokens long, calls long")
+        self.all = handle.getValueState("all", "tokens long, calls long")
+
+    def _row(self, key, now: int) -> pd.DataFrame:
+        day, week, next_ = [0, 0], [0, 0], []
+        for (second,), (tokens, calls) in list(self.recent.iterator()):
+            age = now - second * 1000
+            if age > WEEK * 1000:
+                self.recent.removeKey((second,))
+                continue
+            for sums, length in ((day, DAY), (week, WEEK)):
+                if age <= length * 1000:
+                    sums[0] += tokens
+                    sums[1] += calls
+                    next_.append(second * 1000 + length * 1000 + 1)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if next_:
+            self.handle.registerTimer(min(next_))
+        return pd.DataFrame([[key[0], *day, *week, *self.all.get()]], columns=["origin", *(f.split()[0] for f in WINDOWS.split(", "))])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        tokens, calls = self.all.get() if self.all.exists() else (0, 0)
+        for part in rows:
+            tokens, calls = tokens + int(part["tokens"].sum()), calls + len(part)
+            timed = part[part["second"].notna()]
+            for second, mine in timed[timed["second"] >= now // 1000 - WEEK].groupby("second"):
+                k = (int(second),)
+                had = self.recent.getValue(k) if self.recent.containsKey(k) else (0, 0)
+                self.recent.updateValue(k, (had[0] + int(mine["tokens"].sum()), had[1] + len(mine)))
+        self.all.update((tokens, calls))
+        yield self._row(key, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key, timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def usage_windows(calls: DataFrame, by: str = "origin", at: str = "at") -> DataFrame:
+    """X5 as a stream: calls (``by``, usage_json, timestamp ``at``) to tokens and calls of the last 24 hours, the last 7 days and in total, by origin; the cut is inclusive, calls without a time count in the total only.
+
+    "Now" is the batch's time. Needs the RocksDB state store.
+    """
+    rows = calls.select(F.col(by).alias("origin"), usage_tokens(F.col("usage_json")).alias("tokens"), F.unix_seconds(F.col(at)).alias("second")).filter("tokens is not null")
+    return rows.groupBy("origin").transformWithStateInPandas(UsageState(), f"origin string, {WINDOWS}", "update", "processingTime")
+
+
 def parsed_events(raw: DataFrame) -> DataFrame:
-    """Raw (job_id, seq, event, data) to typed events; unknown ones go."""
+    """Raw (job_id, seq, event, data) to typed events; unknown ones go. Other columns stay."""
     e = raw.withColumn("e", tables.job_event(F.col("event"), F.col("data")))
-    return e.select("job_id", "seq", F.col("e.type").alias("event"), "e.no", "e.total", "e.text").filter("event != 'unknown'")
+    others = [c for c in raw.columns if c not in ("job_id", "seq", "event", "data")]
+    return e.select("job_id", "seq", F.col("e.type").alias("event"), "e.no", "e.total", "e.text", "e.status", "e.message", "e.done_count", *others).filter("event != 'unknown'")

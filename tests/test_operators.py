@@ -10,7 +10,7 @@ from examlake.functions import markdown as M
 from examlake.functions import text as T
 from examlake.operators import chain, corpus, glyphs, layout, merge, planning, tree, usage
 from examlake.sources import tables
-from examlake.streaming import progress
+
 
 
 def one(spark, column, **values):
@@ -137,42 +137,3 @@ def test_sources(spark, tmp_path):
     for _ in range(2):
         tables.write(df, str(tmp_path / "t"), ["k"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    events = [(1, 8, "delta", None, None, "late"), (1, 1, "start", None, 2, None), (1, 2, "problem", 5, None, None), (1, 3, "delta", None, None, "ab"), (1, 4, "error", None, None, "e"), (1, 5, "problem", 6, None, None), (1, 6, "delta", None, None, "c"), (2, 7, "start", None, 1, None), (2, 8, "done", None, None, None)]
-    schema = "job_id long, seq long, event string, no int, total int, text string"
-    spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = progress.progress(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("progress").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    columns = ["job_id", "total", "done", "current_no", "partial", "status", "error", "last_seq"]
-    assert sorted(spark.table("progress").select(*columns).collect()) == sorted(progress.progress_batch(spark.createDataFrame(events, schema)).select(*columns).collect())
-
-
-def test_late_events_and_replays_count_as_in_the_batch(spark):
-    """Any order and any cut into batches gives the batch twin's row; an event that comes twice counts once."""
-    import copy
-
-    import pandas as pd
-
-    rng = random.Random(3)
-    kinds = ["start", "problem", "delta", "done", "error", "end"]
-    for _ in range(6):
-        events = [(1, k, rng.choice(kinds), rng.choice([None, rng.randint(1, 9)]), rng.choice([None, rng.randint(1, 9)]), rng.choice([None, f"t{k};"])) for k in range(14)]
-        frame = pd.DataFrame(events, columns=["job_id", "seq", "event", "no", "total", "text"])
-        want = progress.progress_batch(spark.createDataFrame(events, "job_id long, seq long, event string, no int, total int, text string")).first()
-        for _ in range(5):
-            mixed = frame.sample(frac=1, random_state=rng.randint(0, 99))
-            state = copy.deepcopy(progress._START)
-            for a in range(0, 14, 5):
-                state = progress._fold(state, pd.concat([mixed.iloc[a : a + 5], mixed.iloc[:2]]))
-            assert progress._shown(state) == [want[c.split()[0]] for c in progress.FIELDS.split(", ")]
-
-
-def test_incremental_dedup(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    schema = "seq long, problem_id long, raw_text string"
-    store = progress.dedup_into(str(tmp_path / "corpus"))
-    for k, rows in enumerate(([(1, 1, "1. a"), (2, 2, "2. a")], [(3, 3, "b"), (4, 4, "a")])):
-        store(spark.createDataFrame(rows, schema), k)
-    assert sorted(r["problem_id"] for r in spark.read.parquet(str(tmp_path / "corpus")).collect()) == [1, 3]
