@@ -31,17 +31,36 @@ def remaining_variants(problems: DataFrame, modes: list[str], existing: DataFram
     return wanted.join(existing.select(*KEY, "mode"), [*KEY, "mode"], "left_anti")
 
 
+#: What stands in an index of jobs for a job without targets (it does all), and for every job.
+_ALL, _ANY = "all", "any"
+
+
+def _entries(values: Column, asks: bool) -> Column:
+    """Keys of a set of targets or modes (null: all): of a job all that it can be found by, of a request those it looks for."""
+    each = F.transform(F.filter(F.array_distinct(values), lambda x: x.isNotNull()), lambda x: F.concat(F.lit("="), x.cast("string")))
+    known = F.concat(each, F.array(F.lit(_ALL if asks else _ANY)))
+    return F.when(values.isNull(), F.array(F.lit(_ANY)) if asks else F.array(F.lit(_ALL), F.lit(_ANY))).otherwise(known)
+
+
+def _indexed(rows: DataFrame, targets: str, modes: str, asks: bool) -> DataFrame:
+    """``rows`` once for every key (_t, _m). Modes count for variants only, and nothing for text recognition."""
+    one = F.array(F.lit(_ANY))
+    rows = rows.withColumn("_t", F.explode(F.when(F.col("kind") == "ocr", one).otherwise(_entries(F.col(targets), asks))))
+    return rows.withColumn("_m", F.explode(F.when(F.col("kind") == "variant", _entries(F.col(modes), asks)).otherwise(one)))
+
+
 def overlapping_job(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """For each request, the first active job of its node and kind that does some of it, if any.
 
-    A request or job without targets means all; text recognition overlaps always; variants need a common mode, too.
+    A request or job without targets means all; text recognition overlaps always; variants need a common mode, too. Jobs are indexed by node, kind, target and mode, the first
+    job of each; a request looks up its own targets and modes, so requests and jobs of a node are never paired.
     """
-    active = jobs.filter(F.col("status").isin("queued", "running")).select("node_id", "kind", F.col("job_id"), F.col("targets").alias("j_targets"), F.col("modes").alias("j_modes"), F.col("created_at").alias("j_created"))
-    pair = requests.join(active, ["node_id", "kind"])
-    meets = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | F.arrays_overlap(a, b)
-    hit = (F.col("kind") == "ocr") | (meets("targets", "j_targets") & ((F.col("kind") != "variant") | meets("modes", "j_modes")))
-    first = pair.filter(hit).groupBy("request_id").agg(F.min(F.struct("j_created", "job_id")).alias("j"))
-    return requests.join(first, "request_id", "left").select(*requests.columns, F.col("j.job_id").alias("job_id"))
+    active = jobs.filter(F.col("status").isin("queued", "running"))
+    index = _indexed(active.select("node_id", "kind", "job_id", "created_at", "targets", "modes"), "targets", "modes", asks=False)
+    index = index.groupBy("node_id", "kind", "_t", "_m").agg(F.min(F.struct("created_at", "job_id")).alias("_j"))
+    looked = _indexed(requests.select("request_id", "node_id", "kind", "targets", "modes"), "targets", "modes", asks=True)
+    first = looked.join(index, ["node_id", "kind", "_t", "_m"]).groupBy("request_id").agg(F.min("_j").alias("_j"))
+    return requests.join(first, "request_id", "left").select(*requests.columns, F.col("_j.job_id").alias("job_id"))
 
 
 def interrupted(jobs: DataFrame) -> DataFrame:

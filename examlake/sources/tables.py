@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlake.operators.usage import json_map
+from examlake.sources.staging import staged
 
 # The columns of each table.
 SCHEMAS = {
@@ -39,8 +42,27 @@ def read(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> Dat
     return spark.read.schema(SCHEMAS[name]).format(fmt).load(path)
 
 
-def write(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Partitions of ``by`` that the rows name are replaced, so a second run gives the same; without it the whole table."""
+def write(df: DataFrame, path: str, by: list[str] | None = None, keys: list[str] | None = None) -> None:
+    """Rows replace the stored rows of their ``keys``; stored rows of other keys stay. A second run gives the same.
+
+    Only partitions of ``by`` that the rows name are read and written again (without ``by``, the table). Their new state is staged in the shared
+    folder first, and the table's files change when that is complete; a run that stops before leaves the table as it was. Of several
+    rows of one key one stays (the last as JSON). A row whose key was stored in another partition is added, so ``keys`` should
+    name the columns of ``by``. Without ``keys`` the partitions (or the table) are replaced as a whole.
+    """
+    spark = df.sparkSession
+    if keys:
+        row = F.struct(*df.columns)
+        df = df.groupBy(*keys).agg(F.max_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            stored, new = spark.read.schema(df.schema).parquet(path), staged(df)
+            same = lambda a, b, columns: functools.reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in columns))
+            if by:
+                touched = new.select(*by).distinct()
+                stored = stored.alias("s").join(F.broadcast(touched).alias("t"), same(stored, touched, by), "left_semi")  # a row for each partition
+            df = new.unionByName(stored.join(new, same(stored, new, keys), "left_anti").select(*new.columns))
+            df = staged(df)
     w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (w.partitionBy(*by) if by else w).parquet(path)
 
