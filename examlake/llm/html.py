@@ -3,14 +3,19 @@
 A page is a run of tags and texts. Each word scores +1, each tag its weight, which is below zero always; the region with the
 largest sum is found in one pass. Containers that are never content (menus, forms, asides, scripts, comments and the like)
 count nothing and are left out of the region. Weights are learned by an averaged, projected structured perceptron on labelled pages: pages
-that mark their content themselves (one <article> or one <main>). Up to ``SAMPLE`` of them, by a hash of their text, are
-used, a documented bound; tags that never occurred there weigh ``UNSEEN``.
+that mark their content themselves (one <article> or one <main>). Up to ``SAMPLE`` of them of at most ``LARGEST`` characters, by a hash of
+their text, are used, a documented bound; tags that never occurred there weigh ``UNSEEN``.
 
 Pages are read in one pass whatever they hold: a quote opens a value only where one closes it, and what is looked for once in
 vain is not looked for again. Elements close as HTML says (a new <p> ends the open one, the end of a container ends all in
 it). A container of a never kind that nothing closes reaches to the next block only, and one that holds the page's <main> or
 only <article> is none, so no slip in the markup loses the rest of a page.
 
+A class, id or role makes a container a never kind where it is one of ``NEVER_WORDS``, alone or with words of place and form only
+("ad-box", "site-footer"); with any other word it says something of the page ("has-sidebar", "comments-open", "related-work") and counts for
+nothing. On a page without its <main> or only <article>, a form or a named container that holds four fifths of the words outside of other elements of a
+never kind is the page's frame, and stays; only one of reader comments never does.
+
 Defined results: a null or empty page, and one without words, has the empty text; equal scores take the first and
 shortest region; repeated rows give repeated rows; a column named text is replaced, other columns stay.
 """
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from examlake.llm.shared import slices, smallest, text_of, with_results
 
 SAMPLE, ROUNDS, UNSEEN, MARGIN = 1500, 10, -1.0, 0.5
+#: Characters of the longest page that the weights are learned from.
+LARGEST = 100_000
 #: The most that a tag may weigh.
 HIGHEST = -0.05
 #: White space of HTML texts: that of words, and the no-break space that &nbsp; gives.
@@ -46,7 +53,10 @@ INLINE = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {tag: re.compile(rf"</{tag}(?![a-zA-Z0-9-])[^>]*+>", re.IGNORECASE) for tag in "script style textarea title noscript iframe".split()}
 NEVER = set("nav header footer aside form button dialog menu select template svg textarea title noscript iframe".split())
-NEVER_NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumbs?|comments?|cookies?|disqus|footer|menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|share|sharing|sidebar|social|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
+NEVER_WORDS = set("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer menu nav navbar navigation newsletter notice popup promo related replies share sharing sidebar social sponsored subscribe toolbar widget widgets".split())
+FORM_WORDS = set("area bar block bottom box buttons consent container footer form global group header holder inner item items left links list main modal navigation outer panel placeholder posts primary region right rail row secondary section site slot stories strip thread top unit wrap wrapper".split())
+COMMENTS = set("comment comments disqus replies".split())
+_TOKEN, _WORD = re.compile(r"\S+"), re.compile(r"[a-z]+")
 # Elements that may end without an end tag, the start tags that end each, and within what they are looked for.
 _BLOCKS = "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul"
 _ENDED_BY = {"p": _BLOCKS, "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr tbody tfoot thead", "td": "td th tr tbody tfoot thead", "th": "td th tr tbody tfoot thead", "thead": "tbody tfoot", "tbody": "tbody tfoot", "tfoot": "tbody", "option": "option optgroup"}
@@ -125,12 +135,31 @@ def parts(html: str) -> list[Part]:
     return out
 
 
+def _covered(found: list[tuple[int, int, int]], n: int) -> list[int]:
+    """What each place adds to the number of containers it lies in."""
+    change = [0] * (n + 1)
+    for begin, end, _ in found:
+        change[begin] += 1
+        change[end] -= 1
+    return change
+
+
+def never_named(value: str) -> int:
+    """0 if a container's class, id and role names do not make it a never kind, 1 if they do, 2 if it is one of reader comments."""
+    kind = 0
+    for token in _TOKEN.findall(value.lower()):
+        own = set(_WORD.findall(token))
+        if own & NEVER_WORDS and own <= NEVER_WORDS | FORM_WORDS:
+            kind = max(kind, 2 if own & COMMENTS else 1)
+    return kind
+
+
 def skipped(page: list[Part]) -> list[bool]:
     """For each part, whether it lies in a container that is never content."""
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, int]] = []  # name, place, and 0: content, 1: never, unless it is the page's frame, 2: never
     open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack, by name
-    found: list[tuple[int, int]] = []
-    loose: list[int] = []
+    found: list[tuple[int, int, int]] = []
+    loose: list[tuple[int, int]] = []
 
     def top(names) -> int:
         return max((open_at[n][-1] for n in names if open_at[n]), default=-1)
@@ -141,9 +170,9 @@ def skipped(page: list[Part]) -> list[bool]:
             open_at[name].pop()
             own = name == by and len(stack) == depth
             if never and (own or name in _ENDED_BY):
-                found.append((begin, i + own))
+                found.append((begin, i + own, never))
             elif never:
-                loose.append(begin)
+                loose.append((begin, never))
 
     blocks = []
     for i, (kind, name, value) in enumerate(page):
@@ -156,21 +185,26 @@ def skipped(page: list[Part]) -> list[bool]:
                     pop_to(depth, i)
             if name not in VOID:
                 open_at[name].append(len(stack))
-                stack.append((name, i, name in NEVER or (name not in ("body", "html", "article", "main") and bool(value) and NEVER_NAMED.search(value) is not None)))
+                named = never_named(value) if value and name not in ("body", "html", "article", "main") else 0
+                stack.append((name, i, 2 if name in NEVER and name != "form" else max(named, int(name == "form"))))
         else:
             depth = top((name,))
             if depth >= 0 and (name in _TABLE or depth > top(("td", "th", "caption"))):
                 pop_to(depth, i, name)
     pop_to(0, len(page))
-    for begin in loose:
+    for begin, never in loose:
         after = bisect_right(blocks, begin)
-        found.append((begin, blocks[after] if after < len(blocks) else len(page)))
+        found.append((begin, blocks[after] if after < len(blocks) else len(page), never))
     marked = [own[0] for tag in ("article", "main") if len(own := [i for i, (kind, name, _) in enumerate(page) if kind == "open" and name == tag]) == 1]
-    change = [0] * (len(page) + 1)
-    for begin, end in found:
-        if not any(begin < x < end for x in marked):
-            change[begin] += 1
-            change[end] -= 1
+    found = [(begin, end, never) for begin, end, never in found if not any(begin < x < end for x in marked)]
+    change = _covered([x for x in found if x[2] == 2], len(page))
+    if weak := [x for x in found if x[2] == 1]:
+        upto, hidden = [0], 0
+        for (kind, _, value), x in zip(page, change):
+            hidden += x
+            upto.append(upto[-1] + (len(value.split()) if kind == "text" and not hidden else 0))
+        small = [x for x in weak if marked or 5 * (upto[x[1]] - upto[x[0]]) <= 4 * upto[-1]]
+        change = [a + b for a, b in zip(change, _covered(small, len(page)))]
     out, depth = [], 0
     for x in change[:-1]:
         depth += x
@@ -235,7 +269,7 @@ def learned(pages: list[str]) -> dict[str, float]:
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dict[str, float]:
     """Tag weights from at most ``sample`` labelled pages, gathered in one task; what comes back is one number for each tag seen there."""
-    marked = pages.select(html_col).filter(F.lower(F.col(html_col)).rlike("<(article|main)[ >]"))
+    marked = pages.select(html_col).filter(F.lower(F.col(html_col)).rlike("<(article|main)[ >]") & (F.char_length(html_col) <= LARGEST))
     chosen = smallest(marked.withColumn("at", F.xxhash64(html_col)), "at", sample)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
