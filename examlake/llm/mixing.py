@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from examlake.llm.shared import written
 
 BLOCK, BUCKET, ROUNDS = 128, 4096, 24
-#: Slots of an output shard, shards whose counts are summed at once, and numbers of one cell of a draw.
-SHARD, SHARDS, CELL = 8192, 1024, 64
+#: Slots of an output shard, shards whose counts are summed at once, numbers of one cell of a draw, and cells made of one row.
+SHARD, SHARDS, CELL, CELLS = 8192, 1024, 64, 1 << 16
 WEIGHTS = (3, 1, 2)
 
 
@@ -74,9 +74,14 @@ def _segments(texts: DataFrame) -> DataFrame:
 
 
 def _cells(parts: DataFrame, start: str, size: str) -> DataFrame:
-    """``parts`` (each has the numbers from ``start`` on, ``size`` of them) by the cells of ``CELL`` numbers that they touch. As no part is empty, a cell has ``CELL`` parts at most."""
-    last = F.floor((F.col(start) + F.col(size) - 1) / CELL)
-    return parts.filter(F.col(size) > 0).withColumn("cell", F.explode(F.sequence(F.floor(F.col(start) / CELL), last)))
+    """``parts`` (each has the numbers from ``start`` on, ``size`` of them) by the cells of ``CELL`` numbers that they touch. As no part is empty, a cell has ``CELL`` parts at most.
+
+    A part is cut in ranges of ``CELLS`` cells first, which are dealt to tasks, so that no row holds more than one range however large the part is.
+    """
+    parts = parts.filter(F.col(size) > 0).withColumn("last", F.floor((F.col(start) + F.col(size) - 1) / CELL))
+    ranges = parts.withColumn("from_cell", F.explode(F.sequence(F.floor(F.col(start) / CELL), F.col("last"), F.lit(CELLS).cast("long"))))
+    ranges = ranges.repartition(F.col(start), F.col("from_cell"))
+    return ranges.withColumn("cell", F.explode(F.sequence(F.col("from_cell"), F.least(F.col("from_cell") + (CELLS - 1), "last")))).drop("from_cell", "last")
 
 
 def _within(numbers: DataFrame, number: str, cells: DataFrame, start: str, size: str) -> DataFrame:
