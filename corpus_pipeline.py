@@ -6,7 +6,7 @@ result as Parquet to the shared folder and reads it again. All but the last retu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlake.llm import decontaminate, mixing, ngram_join, quality, secrets
@@ -16,10 +16,20 @@ from examlake.llm.shared import table, written
 ORACLE_SQL = None
 
 
+def _renamed(docs: DataFrame) -> DataFrame:
+    """``docs`` under names that no operator's result has."""
+    return docs.withColumnsRenamed({c: f"doc__{c}" for c in docs.columns})
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"doc__{c}").alias(c) for c in docs.columns]
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the classifier, fitted on labelled rows of ``docs``, does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter(quality.keeps(F.col("p_good"), F.col("text"), model)).select(*docs.columns)
+    scored = quality.score(_renamed(docs), model, text_col="doc__text")
+    return scored.filter(quality.keeps(F.col("p_good"), F.col("doc__text"), model)).select(*_columns(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,17 +56,17 @@ def _one_of_alike(rows: DataFrame) -> DataFrame:
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which at least one word in twenty lies in a benchmark window."""
-    found = decontaminate.matches(docs.withColumnsRenamed({c: f"doc__{c}" for c in docs.columns}), table(spark, sf_dir, "benchmark"), text_col="doc__text")
-    return found.filter(~decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(*(F.col(f"doc__{c}").alias(c) for c in docs.columns))
+    found = decontaminate.matches(_renamed(docs), table(spark, sf_dir, "benchmark"), text_col="doc__text")
+    return found.filter(~decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(*_columns(docs))
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret; documents stay. Where the text has changed, n_chars follows."""
-    found = secrets.find_secrets(docs)
-    if "n_chars" not in docs.columns:
-        return found.select(*docs.columns)
-    chars = F.when(F.size("secrets") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", chars).select(*docs.columns)
+    found = secrets.find_secrets(_renamed(docs), text_col="doc__text")
+    if "n_chars" in docs.columns:
+        chars = F.when(F.size("secrets") > 0, F.char_length("doc__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc__n_chars"))
+        found = found.withColumn("doc__n_chars", chars)
+    return found.select(*_columns(docs))
 
 
 def mixed_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
