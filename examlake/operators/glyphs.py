@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examlake.functions.text import half_up
+from examlake.operators.layout import held
 
 # Sizes in points and shares of the body size.
 LEAST_SIZE, SCRIPT_SIZE, SCRIPT_SHIFT, LINE_STEP, CENTRED = 1.0, 0.8, 0.15, 0.75, 0.15
@@ -24,9 +25,9 @@ REGION = ["doc_id", "no"]
 
 def region_glyphs(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
     """G1: glyphs (doc_id, page, char, font, size, x0, y0, x1, y1, baseline) by the box that holds their centre, invisible ones dropped; offset is null beyond the private-use area."""
-    g = glyphs.filter(F.col("size") >= LEAST_SIZE).select("doc_id", "page", "char", "font", "size", "baseline", *(F.col(c).alias(f"g_{c}") for c in ("x0", "y0", "x1", "y1")))
-    hit = boxes.join(g, ["doc_id", "page"]).filter(((F.col("g_x0") + F.col("g_x1")) / 2).between(F.col("x0"), F.col("x1")) & ((F.col("g_y0") + F.col("g_y1")) / 2).between(F.col("y0"), F.col("y1")))
-    return hit.select("doc_id", "page", "no", "char", "font", "size", "baseline", F.col("g_x0").alias("x0"), F.col("g_y0").alias("y0"), F.col("g_x1").alias("x1"), F.col("g_y1").alias("y1"), offset(F.col("char")).alias("offset"))
+    centre = lambda a, b: ((F.col(a) + F.col(b)) / 2)
+    g = glyphs.filter(F.col("size") >= LEAST_SIZE).select("doc_id", "page", "char", "font", "size", "baseline", *(F.col(c).alias(f"g_{c}") for c in ("x0", "y0", "x1", "y1")), centre("x0", "x1").alias("cx"), centre("y0", "y1").alias("cy"))
+    return held(boxes.select("doc_id", "page", "no", "x0", "y0", "x1", "y1"), g).select("doc_id", "page", "no", "char", "font", "size", "baseline", F.col("g_x0").alias("x0"), F.col("g_y0").alias("y0"), F.col("g_x1").alias("x1"), F.col("g_y1").alias("y1"), offset(F.col("char")).alias("offset"))
 
 
 def offset(char: Column) -> Column:
@@ -171,8 +172,10 @@ def _lines(atoms: list[Atom], body: float) -> list[list[Atom]]:
 
 
 def decoded_region(atoms: list[Atom], body: float | None) -> tuple[str, str | None]:
-    """G4 to G6 of one region: LaTeX, and why it cannot be trusted."""
-    if not body or not any(a.latex.strip() for a in atoms):
+    """G4 to G6 of one region: LaTeX, and why it cannot be trusted. Without a body size: no_body; without anything to read: empty."""
+    if not body:
+        return "", "no_body"
+    if not any(a.latex.strip() for a in atoms):
         return "", "empty"
     folded, doubt = _folded(atoms, body)
     rows = [_row(line) for line in _lines(folded, body)]
@@ -180,7 +183,11 @@ def decoded_region(atoms: list[Atom], body: float | None) -> tuple[str, str | No
 
 
 def decoded(glyphs: DataFrame, graphics: DataFrame) -> DataFrame:
-    """LaTeX of each region, ok and the reason why not. glyphs: mapped, with body; graphics: REGION, graphics_reason. Glyphs of a region, a few hundred at most, are gathered as arrays; many regions are one Arrow batch."""
+    """LaTeX of each region, ok, the reasons why not in their order (``reasons``) and the first that stands for them (``reason``: unknown before uncertain).
+
+    glyphs: mapped, with body; graphics: REGION, graphics_reason, a row for each region. A region of ``graphics`` without glyphs is no_glyphs;
+    that, no_body and empty are reasons alone, without LaTeX. Glyphs of a region, a few hundred at most, are gathered as arrays; many regions are one Arrow batch.
+    """
     n = lambda x: F.count(F.when(F.col("latex") == x, 1))
     fields = ("x0", "x1", "baseline", "size", "offset", "latex")
     regions = glyphs.groupBy(*REGION).agg(
@@ -188,6 +195,7 @@ def decoded(glyphs: DataFrame, graphics: DataFrame) -> DataFrame:
         F.first("body").alias("body"),
         F.min("known").alias("known"),
         F.min("certain").alias("certain"),
+        F.min(F.col("certain") | ~F.col("known")).alias("sure"),
         ((n("(") == n(")")) & (n("{") == n("}")) & (n("|") % 2 == 0)).alias("paired"),
     )
 
@@ -200,9 +208,13 @@ def decoded(glyphs: DataFrame, graphics: DataFrame) -> DataFrame:
             out.append(decoded_region(atoms, None if pd.isna(own) else float(own)))
         return pd.DataFrame(out, columns=["latex", "why"])
 
-    out = regions.withColumn("r", read(*(F.col(f"g.{c}") for c in fields), "body")).join(graphics, REGION, "left")
-    reason = F.when(~F.col("known"), "unknown").when(~F.col("certain"), "uncertain").when(F.col("r.why").isNotNull(), F.col("r.why")).when(~F.col("paired"), "pairs").otherwise(F.col("graphics_reason"))
-    return out.select(*REGION, F.col("r.latex").alias("latex"), reason.alias("reason")).withColumn("ok", F.col("reason").isNull())
+    out = regions.withColumn("r", read(*(F.col(f"g.{c}") for c in fields), "body")).join(graphics, REGION, "full")
+    none = F.when(F.col("g").isNull(), "no_glyphs").when(F.col("r.why").isin("no_body", "empty"), F.col("r.why"))
+    of = lambda c, name: F.when(c, name)
+    why = (of(~F.col("sure"), "uncertain"), of(~F.col("known"), "unknown"), F.col("r.why"), F.col("graphics_reason"), of(~F.col("paired"), "pairs"))
+    reasons = F.when(none.isNotNull(), F.array(none)).otherwise(F.array_compact(F.array(*why)))
+    first = F.when(~F.col("known"), "unknown").when(~F.col("certain"), "uncertain").when(none.isNotNull(), none).when(F.col("r.why").isNotNull(), F.col("r.why")).when(~F.col("paired"), "pairs").otherwise(F.col("graphics_reason"))
+    return out.select(*REGION, F.when(none.isNull(), F.col("r.latex")).alias("latex"), first.alias("reason"), reasons.alias("reasons")).withColumn("ok", F.col("reason").isNull())
 
 
 def routed(regions: DataFrame) -> DataFrame:

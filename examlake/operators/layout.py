@@ -19,6 +19,9 @@ GLYPH_Y, GLYPH_GAP = 3.0, 6.0
 CONFIDENCE, TEXT_PAD, SAMPLE_LEFT = 0.5, 2.0, 1.0
 NUMBER_FONT, NUMBER_SIZE, FEW_ANCHORS = "DINCondensed", 15.0, 2
 PAGE, COLUMN = ["doc_id", "page"], ["doc_id", "page", "col"]
+#: Pages are cut into square cells of this many points; what lies further out than ``FAR`` is in the outermost ones.
+CELL, FAR = 96.0, 19_200.0
+CELLS = ["_cx", "_cy"]
 
 
 def body_rects(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -101,10 +104,42 @@ def renumbered(problems: DataFrame, forced: Column | None = None) -> DataFrame:
     return j.withColumn("no", F.when(again, F.row_number().over(doc.orderBy("pos"))).otherwise(F.col("no")).cast("int")).drop("_again")
 
 
+def cell(at: Column) -> Column:
+    """The cell of a coordinate. It never falls where the coordinate rises, also far out and for NaN, which Spark puts above all numbers."""
+    return F.floor(F.least(F.greatest(at, F.lit(-FAR)), F.lit(FAR)) / CELL)
+
+
+def in_cells(boxes: DataFrame) -> DataFrame:
+    """A row of each box (x0, y0, x1, y1) for each cell that it touches, as CELLS: a box over a whole page is on some sixty of them."""
+    across = F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))
+    return boxes.withColumn("_cx", across).withColumn("_cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
+
+
+def held(boxes: DataFrame, things: DataFrame) -> DataFrame:
+    """Each box (PAGE, x0, y0, x1, y1) with each of ``things`` (PAGE, cx, cy) whose centre it holds, edges included; no other column names may be common.
+
+    A centre lies in one cell, so it meets the boxes of that cell instead of those of its page, and each of them once.
+    """
+    t = things.withColumn("_cx", cell(F.col("cx"))).withColumn("_cy", cell(F.col("cy")))
+    hit = in_cells(boxes).join(t, [*PAGE, *CELLS])
+    return hit.filter(F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1"))).drop(*CELLS)
+
+
+def touching(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Each box (PAGE, x0, y0, x1, y1) with each shape (PAGE, s_x0, s_y0, s_x1, s_y1) that overlaps it by more than an edge.
+
+    Both lie in several cells; a pair counts in the one that holds the upper left corner of what they share.
+    """
+    s = shapes.withColumn("_cx", F.explode(F.sequence(cell(F.col("s_x0")), cell(F.col("s_x1"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("s_y0")), cell(F.col("s_y1")))))
+    both = (F.col("s_x0") < F.col("x1")) & (F.col("s_x1") > F.col("x0")) & (F.col("s_y0") < F.col("y1")) & (F.col("s_y1") > F.col("y0"))
+    once = (cell(F.greatest("x0", "s_x0")) == F.col("_cx")) & (cell(F.greatest("y0", "s_y0")) == F.col("_cy"))
+    return in_cells(boxes).join(s, [*PAGE, *CELLS]).filter(both & once).drop(*CELLS)
+
+
 def region_texts(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """Boxes (PAGE, no, x0, y0, x1, y1) with the text of the lines whose centre they hold, top down."""
     l = lines.select(*PAGE, "text", F.col("x0").alias("lx"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), half_up(F.col("y0"), 1).alias("ly"))
-    hit = boxes.join(l, PAGE).filter(F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1")))
+    hit = held(boxes.select(*PAGE, "no", "x0", "y0", "x1", "y1"), l)
     rows = hit.groupBy(*PAGE, "no").agg(F.sort_array(F.collect_list(F.struct("ly", "lx", "text"))).alias("l"))
     text = F.trim(F.array_join(F.transform("l", lambda x: F.rtrim(x["text"])), "\n"))
     return boxes.join(rows.select(*PAGE, "no", text.alias("text")), [*PAGE, "no"], "left")
@@ -118,13 +153,12 @@ def single_column_vote(pages: DataFrame) -> DataFrame:
 
 def graphics_reasons(boxes: DataFrame, images: DataFrame, drawings: DataFrame, least: float = 3.0, most: int = 6) -> DataFrame:
     """Boxes with graphics_reason: image where one intersects, drawings where more than six larger ones do, else null."""
-    def touching(shapes: DataFrame, name: str) -> DataFrame:
+    def number(shapes: DataFrame, name: str) -> DataFrame:
         s = shapes.select(*PAGE, *(F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")))
-        hit = boxes.join(s, PAGE).filter((F.col("s_x0") < F.col("x1")) & (F.col("s_x1") > F.col("x0")) & (F.col("s_y0") < F.col("y1")) & (F.col("s_y1") > F.col("y0")))
-        return hit.groupBy(*PAGE, "no").agg(F.count("*").alias(name))
+        return touching(boxes.select(*PAGE, "no", "x0", "y0", "x1", "y1"), s).groupBy(*PAGE, "no").agg(F.count("*").alias(name))
 
     large = drawings.filter((F.col("x1") - F.col("x0") > least) & (F.col("y1") - F.col("y0") > least))
-    j = boxes.join(touching(images, "_i"), [*PAGE, "no"], "left").join(touching(large, "_d"), [*PAGE, "no"], "left")
+    j = boxes.join(number(images, "_i"), [*PAGE, "no"], "left").join(number(large, "_d"), [*PAGE, "no"], "left")
     return j.withColumn("graphics_reason", F.when(F.col("_i") > 0, "image").when(F.col("_d") > most, "drawings")).drop("_i", "_d")
 
 

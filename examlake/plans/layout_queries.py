@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from examlake.operators import chain, glyphs, layout
@@ -132,6 +134,14 @@ def w17_label_blocks(spark, d):
     return layout.label_blocks(x)
 
 
+@query(f"""WITH {I.LINES_SQL}, {_BOXES}, g AS (SELECT doc_id, page, x0 + no AS gx0, y0 + no AS gy0, CASE WHEN no % 3 <> 0 THEN no END AS off, (CASE WHEN no = 7 THEN 0.5 ELSE 9 + no END)::DOUBLE AS size FROM lines)
+SELECT doc_id, page, no, gx0::DOUBLE AS x0, gy0::DOUBLE AS y0, off::INT AS "offset", size, count(*) AS n FROM boxes JOIN g USING (doc_id, page) WHERE size >= 1 AND gx0 + 3 BETWEEN bx0 AND bx1 AND gy0 + 5 BETWEEN by0 AND by1 GROUP BY ALL""")
+def g1_region_glyphs(spark, d):
+    x = I.lines(spark, d).withColumn("char", F.when(F.col("no") % 3 != 0, F.decode(F.unhex(F.lpad(F.hex(F.col("no").cast("long") + 0xE000), 4, "0")), "UTF-16BE")).otherwise("a"))
+    g = x.selectExpr("doc_id", "page", "char", "'HyhwpEQ' as font", "cast(if(no = 7, 0.5, 9 + no) as double) as size", "y0 as baseline", "x0 + no as x0", "y0 + no as y0", "x0 + no + 6 as x1", "y0 + no + 10 as y1")
+    return glyphs.region_glyphs(g, _boxes(spark, d)).groupBy("doc_id", "page", "no", "x0", "y0", "offset", "size").agg(F.count("*").alias("n"))
+
+
 _GLYPHS = """g AS (SELECT l_suppkey AS doc_id, l_linenumber AS no, l_orderkey % 130 AS off, 9.0 + (l_partkey % 4) / 2.0 AS size FROM lineitem)"""
 
 
@@ -177,6 +187,32 @@ def g4_g5_g6_g7_decoded(spark, d):
     return glyphs.routed(glyphs.decoded(m, boxes).withColumn("has_crop", F.col("no") != 7)).select("doc_id", "no", "ok", "reason", "route")
 
 
+#: Regions of one row with scripts, every third with a fraction behind it; of some the glyphs are unknown, uncertain, unpaired, blank, left over or none.
+_REGIONS = f"""{I.ANCHORS_SQL}, a AS (SELECT doc_id, pos, (doc_id + no * 7 + pos) % 60 AS off, CASE WHEN pos % 3 = 2 AND no % 2 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN '^' ELSE '_' END END AS mark FROM anchors),
+t AS (SELECT *, CASE WHEN off = 29 THEN '?' WHEN off = 40 THEN '(' WHEN off = 41 THEN ')' ELSE chr((97 + off % 26)::INT) END AS latex FROM a),
+r AS (SELECT doc_id, string_agg(CASE WHEN mark IS NULL THEN latex ELSE mark || '{{' || latex || '}}' END, '' ORDER BY pos) AS row, bool_or(off = 29) AS unknown, bool_or(off = 13) AS uncertain, count(*) FILTER (off = 40) <> count(*) FILTER (off = 41) AS unpaired FROM t GROUP BY doc_id)"""
+
+
+@query(f"""WITH {_REGIONS} SELECT doc_id, 1 AS no, CASE WHEN doc_id % 50 NOT IN (11, 12) THEN row || CASE WHEN doc_id % 3 = 0 THEN '\\frac{{j}}{{k}}' ELSE '' END || CASE WHEN doc_id % 10 = 7 THEN '?' ELSE '' END END AS latex,
+CASE doc_id % 50 WHEN 11 THEN 'no_glyphs' WHEN 12 THEN 'no_body' ELSE concat_ws(' / ', CASE WHEN uncertain THEN 'uncertain' END, CASE WHEN unknown THEN 'unknown' END, CASE WHEN doc_id % 10 = 7 THEN 'structure' END, CASE WHEN doc_id % 9 = 0 THEN 'image' END, CASE WHEN unpaired THEN 'pairs' END) END AS reasons,
+CASE WHEN doc_id % 50 NOT IN (11, 12) AND NOT (uncertain OR unknown OR unpaired OR doc_id % 10 = 7 OR doc_id % 9 = 0) THEN 'pua' WHEN doc_id % 4 = 0 THEN 'crop_missing' ELSE 'ai' END AS route FROM r""")
+def g4_g5_g6_g7_latex(spark, d):
+    """Whole regions of known glyphs: most of them decode."""
+    a = I.anchors(spark, d).selectExpr("doc_id", "pos", "(doc_id + no * 7 + pos) % 60 as k", "pos % 3 = 2 and no % 2 = 0 as small")
+    row = a.selectExpr("doc_id", "k", "cast(if(small, 6, 10) as double) as size", "cast(if(small, if(doc_id % 2 = 0, 95, 104), 100) as double) as baseline", "cast(10 * pos as double) as x0", "5D as width")
+    docs = a.select("doc_id").distinct()
+    part = lambda k, base, x0, width: docs.selectExpr("doc_id", f"{k}L as k", "10D as size", f"{base}D as baseline", f"{x0}D as x0", f"{width}D as width")
+    third = [p.filter("doc_id % 3 = 0") for p in (part(61, 92, 202, 5), part(glyphs.BAR, 100, 200, 9), part(62, 104, 202, 5))]
+    g = functools.reduce(lambda x, y: x.unionByName(y), [row, *third, part(glyphs.BAR, 100, 300, 9).filter("doc_id % 10 = 7")]).filter("doc_id % 50 <> 11")
+    ch = F.when(F.col("doc_id") % 50 == 12, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(F.col("k") + 0xE000), 4, "0")), "UTF-16BE"))
+    g = g.select("doc_id", F.lit(1).alias("no"), ch.alias("char"), "size", "baseline", "x0", (F.col("x0") + F.col("width")).alias("x1")).withColumn("offset", glyphs.offset(F.col("char")))
+    known = I.table(spark, d, "part").selectExpr("cast(p_partkey % 65 as int) as offset").distinct().filter("offset <> 29").selectExpr("offset", "case offset when 40 then '(' when 41 then ')' else decode(unhex(hex(97 + offset % 26)), 'UTF-8') end as latex", "offset <> 13 as certain")
+    m = glyphs.mapped(g, known)
+    boxes = docs.selectExpr("doc_id", "1 as no", "if(doc_id % 9 = 0, 'image', null) as graphics_reason")
+    out = glyphs.decoded(m.join(glyphs.body_sizes(m), glyphs.REGION, "left"), boxes)
+    return glyphs.routed(out.withColumn("has_crop", F.col("doc_id") % 4 != 0)).select("doc_id", "no", "latex", F.array_join("reasons", " / ").alias("reasons"), "route")
+
+
 @query("SELECT doc_id % 50 AS run_id, count(*) FILTER (doc_id % 3 = 0) AS decoded, count(*) FILTER (doc_id % 3 = 1) AS ai, count(*) FILTER (doc_id % 3 = 1 AND doc_id % 5 = 0) AS unavailable FROM documents GROUP BY ALL")
 def a12_run_counters(spark, d):
     a = I.table(spark, d, "documents").selectExpr("doc_id % 50 as run_id", "case doc_id % 3 when 0 then 'pua' when 1 then 'ai' else 'crop_missing' end as route", "doc_id % 5 <> 0 as available")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
 from examlake.operators import files, merge, planning
 from examlake.plans import inputs as I
 from examlake.plans.catalog import query
+from examlake.sources import constraints
+from examlake.sources.staging import shared_folder
 
 _DONE = f"WITH {I.PROBLEMS_SQL}, done AS (SELECT node_id, no FROM problems WHERE doc_id % 3 = 0), req AS (SELECT DISTINCT o_custkey % 30 AS node_id, (o_orderkey % 60)::INT AS no FROM orders)"
 
@@ -175,3 +179,23 @@ def o3_note_items(spark, d):
 @query("SELECT lpad((p_partkey % 90)::VARCHAR, 2, '0') || '.' || p_partkey AS id, p_name AS name FROM part")
 def o5_type_dictionary(spark, d):
     return files.type_dictionary(I.table(spark, d, "part").selectExpr("concat(lpad(p_partkey % 90, 2, '0'), '.', p_partkey) as id", "p_name as name"))
+
+
+#: Messages as lines of JSON: some cut off, some without a role, some with an id of others, some of conversations that are not there.
+_MESSAGES = """m AS (SELECT 'm' || conv_id || '-' || CASE WHEN conv_id % 19 = 0 THEN turn // 2 ELSE turn END AS id, 'v' || conv_id AS conversation_id, CASE WHEN (conv_id * 7 + turn) % 17 <> 0 THEN role END AS role, text AS content, turn AS created_at, (conv_id + turn) % 13 = 0 AS cut, conv_id FROM conversations),
+f AS (SELECT *, CASE WHEN cut THEN 'unreadable' WHEN role IS NULL OR content IS NULL THEN 'missing' WHEN conv_id % 23 = 0 THEN 'no_parent' END AS why FROM m),
+k AS (SELECT id, conversation_id, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY id, why ORDER BY role, content, created_at) > 1 THEN 'repeated_key' END, 'good') AS outcome FROM f)"""
+
+
+@query(f"""WITH {_MESSAGES}, o AS (SELECT outcome, CASE WHEN outcome <> 'unreadable' THEN conversation_id END AS conversation_id, CASE WHEN outcome <> 'unreadable' THEN id END AS id FROM k)
+SELECT outcome, conversation_id, count(*) AS n_rows, min(id) AS first_id FROM o GROUP BY outcome, conversation_id""")
+def s1_checked_messages(spark, d):
+    m = I.table(spark, d, "conversations").selectExpr("concat('m', conv_id, '-', if(conv_id % 19 = 0, turn div 2, turn)) as id", "concat('v', conv_id) as conversation_id", "if((conv_id * 7 + turn) % 17 <> 0, role, null) as role", "text as content", "cast(turn as string) as created_at", "(conv_id + turn) % 13 = 0 as cut")
+    line = F.to_json(F.struct("id", "conversation_id", "role", "content", "created_at"))
+    path = f"{shared_folder(spark)}/messages-{uuid.uuid4().hex}"
+    m.select("cut", line.alias("line")).selectExpr("if(cut, left(line, length(line) - 2), line) as value").write.text(path)
+    there = I.table(spark, d, "conversations").filter("conv_id % 23 <> 0").selectExpr("concat('v', conv_id) as id")
+    good, rejects = constraints.load(spark, "conversation_messages", path, "json", {"conversations": there})
+    of = lambda c: F.when(F.col("reason") != "unreadable", F.get_json_object("row", f"$.{c}")).alias(c)
+    both = good.select(F.lit("good").alias("outcome"), "conversation_id", "id", F.lit(1).cast("long").alias("copies")).unionByName(rejects.select(F.col("reason").alias("outcome"), of("conversation_id"), of("id"), "copies"))
+    return both.groupBy("outcome", "conversation_id").agg(F.sum("copies").alias("n_rows"), F.min("id").alias("first_id"))
