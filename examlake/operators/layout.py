@@ -119,21 +119,22 @@ def held(boxes: DataFrame, things: DataFrame) -> DataFrame:
     """Each box (PAGE, x0, y0, x1, y1) with each of ``things`` (PAGE, cx, cy) whose centre it holds, edges included; no other column names may be common.
 
     A centre lies in one cell, so it meets the boxes of that cell instead of those of its page, and each of them once.
+    Both sides are dealt by cell: Spark takes boxes in cells to be as small as the table they are made of and would send them whole to the driver.
     """
     t = things.withColumn("_cx", cell(F.col("cx"))).withColumn("_cy", cell(F.col("cy")))
-    hit = in_cells(boxes).join(t, [*PAGE, *CELLS])
+    hit = in_cells(boxes).hint("merge").join(t, [*PAGE, *CELLS])
     return hit.filter(F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1"))).drop(*CELLS)
 
 
 def touching(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
     """Each box (PAGE, x0, y0, x1, y1) with each shape (PAGE, s_x0, s_y0, s_x1, s_y1) that overlaps it by more than an edge.
 
-    Both lie in several cells; a pair counts in the one that holds the upper left corner of what they share.
+    Both lie in several cells; a pair counts in the one that holds the upper left corner of what they share. Dealt by cell, as in ``held``.
     """
     s = shapes.withColumn("_cx", F.explode(F.sequence(cell(F.col("s_x0")), cell(F.col("s_x1"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("s_y0")), cell(F.col("s_y1")))))
     both = (F.col("s_x0") < F.col("x1")) & (F.col("s_x1") > F.col("x0")) & (F.col("s_y0") < F.col("y1")) & (F.col("s_y1") > F.col("y0"))
     once = (cell(F.greatest("x0", "s_x0")) == F.col("_cx")) & (cell(F.greatest("y0", "s_y0")) == F.col("_cy"))
-    return in_cells(boxes).join(s, [*PAGE, *CELLS]).filter(both & once).drop(*CELLS)
+    return in_cells(boxes).hint("merge").join(s, [*PAGE, *CELLS]).filter(both & once).drop(*CELLS)
 
 
 def region_texts(lines: DataFrame, boxes: DataFrame) -> DataFrame:

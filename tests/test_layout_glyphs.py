@@ -171,3 +171,17 @@ def test_best_and_chosen_chains_against_brute_force(spark):
         got = chosen.get(d, [])
         assert len(got) == max(n_plain, n_book)
         assert all((own[i][2] is not None) == (n_book > n_plain) for i in got) and all(own[i][1] == mark for i in got if own[i][2] is None)
+
+
+def test_boxes_in_cells_are_not_sent_whole(spark):
+    """Boxes made of a small table were broadcast, however many they were in cells; results against brute force."""
+    boxes = spark.range(40).selectExpr("id as doc_id", "explode(array(1, 2)) as page", "1 as no", "10D + id as x0", "90D as y0", "250D as x1", "200D + 2 * id as y1")
+    things = spark.range(2000).selectExpr("id % 40 as doc_id", "cast(id % 3 as int) as page", "id", "cast(id * 7 % 300 as double) as cx", "cast(id * 11 % 310 as double) as cy")
+    shapes = things.selectExpr("doc_id", "page", "id", "cx - 20 as s_x0", "cy - 30 as s_y0", "cx as s_x1", "cy as s_y1")
+    held, touching = layout.held(boxes, things), layout.touching(boxes, shapes)
+    b, t = boxes.collect(), things.collect()
+    pairs = [(x, y) for x in b for y in t if (x.doc_id, x.page) == (y.doc_id, y.page)]
+    assert sorted((r.doc_id, r.page, r.id) for r in held.collect()) == sorted((x.doc_id, x.page, y.id) for x, y in pairs if x.x0 <= y.cx <= x.x1 and x.y0 <= y.cy <= x.y1)
+    assert sorted((r.doc_id, r.page, r.id) for r in touching.collect()) == sorted((x.doc_id, x.page, y.id) for x, y in pairs if y.cx - 20 < x.x1 and y.cx > x.x0 and y.cy - 30 < x.y1 and y.cy > x.y0)
+    for found in (held, touching):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
