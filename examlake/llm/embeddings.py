@@ -4,11 +4,11 @@
    as its signs, c = <signs / sqrt(D), o>, and the rotated vector itself in steps of 1 / 127 of its largest part, with the
    length of what that leaves out. <signs / sqrt(D), q> / c estimates <o, q> without bias, with an error of about
    sqrt((1 - c^2) / c^2 / (D - 1)); ``SIGMAS`` such errors, and what the steps leave out, bound it from above.
-2. Codes, some 100 bytes at 64 dimensions, are compared in tasks of two blocks each. A label of up to ``whole`` classes is
-   compared whole. In a larger one candidates come from hash tables over the signs of further rotations: two classes are
-   compared where they agree on all ``bits`` signs of a table; bits grow with the logarithm of the largest label, tables as
-   many as make a pair at the threshold meet with probability ``MEET``. With ``whole=None`` every label is compared whole,
-   which loses no pair to the tables, at a cost that grows with the square of the label.
+2. Codes, some 100 bytes at 64 dimensions, are compared in tasks of two blocks each. Every label is compared whole, whatever
+   its size: no pair depends on how many others there are. The cost grows with the square of the label, a task's memory does
+   not. Only a caller that names ``whole`` has labels of more classes compared by hash tables over the signs of further
+   rotations: two classes are compared where they agree on all ``bits`` signs of a table; bits grow with the logarithm of the
+   largest label, tables as many as make a pair at the threshold meet with probability ``MEET``, so some pairs are lost.
 3. Only classes of which some pair's bound reaches the threshold in a task have their vectors joined to it; there the bound
    decides which pairs are computed exactly, in doubles. A pair is counted in the first table where it meets. Tasks return
    sums and a spanning forest, never pairs.
@@ -31,7 +31,7 @@ from examlake.llm.graph import components
 from examlake.llm.shared import written
 
 MEET, SIGMAS = 0.985, 4.0
-#: Classes of one block, classes of a label that is compared whole, and rows of one task of small buckets.
+#: Classes of one block, classes of a label up to which hash tables are not worth it, and rows of one task of small buckets.
 BLOCK, WHOLE, BIN = 4096, 32_768, 20_000
 #: Rows of a block compared at once.
 _STRIP = 512
@@ -219,7 +219,7 @@ def _compared(rows: DataFrame, coded: DataFrame, classes: DataFrame, bucket: lis
     return sure.groupBy("task").applyInArrow(_computed(threshold), "id long, links long, near long")
 
 
-def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, whole: int | None = WHOLE) -> DataFrame:
+def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, whole: int | None = None) -> DataFrame:
     """One row per row of ``vectors``: ``id_col``, n_links, component_id and kept. ``whole``: classes of a label up to which it is compared whole; None: always."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
