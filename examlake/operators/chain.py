@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StructType
+
+from examlake.operators.grouped import grouped
 
 
 def longest_increasing(numbers) -> list[int]:
@@ -60,27 +59,24 @@ def best_chain(numbers) -> list[int]:
     return b if len(b) > len(a) else a
 
 
-def _by_document(anchors: DataFrame, *columns: str) -> DataFrame:
-    """One row for each document: its anchors in order, as arrays. Only candidates are gathered, a document at a time."""
-    rows = anchors.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "no", *columns))).alias("a"))
-    return rows.select("doc_id", *(F.col(f"a.{c}").alias(c) for c in ("pos", "no", *columns)))
+def _numbers(no) -> list:
+    return [float("nan") if x is None else x for x in no]
 
 
-def _picked(rows: DataFrame, keep, schema: StructType) -> DataFrame:
-    kept = rows.select("doc_id", F.explode(F.transform(keep, lambda i: F.struct(F.get("pos", i).alias("pos"), F.get("no", i).alias("no")))).alias("k"))
-    return kept.select("doc_id", *(F.col(f"k.{c}").cast(schema[c].dataType).alias(c) for c in ("pos", "no")))
+def _kept(anchors: DataFrame) -> str:
+    return ", ".join(f"{c} {anchors.schema[c].dataType.simpleString()}" for c in ("pos", "no"))
 
 
 def chains(anchors: DataFrame, how=best_chain) -> DataFrame:
-    """W6, W8 by document: the anchors (doc_id, pos, no) kept."""
+    """W6, W8 by document: the anchors (doc_id, pos, no) kept. A document's candidates are in memory at a time."""
 
-    def pick(no: pd.Series) -> pd.Series:
-        return no.map(lambda n: how(n.tolist()))
+    def pick(pos, no) -> list[tuple]:
+        return [(pos[i], no[i]) for i in how(_numbers(no))]
 
-    return _picked(_by_document(anchors), pandas_udf(pick, "array<int>")("no"), anchors.schema)
+    return grouped(anchors, ["doc_id"], ("pos", "no"), pick, _kept(anchors))
 
 
-def _choice(no: list, delimiter: list, series: list) -> list[int]:
+def _choice(no, delimiter, series) -> list[int]:
     at = range(len(no))
     by = {x: [i for i in at if series[i] is None and delimiter[i] == x] for x in (".", ")")}
     length = {x: len(longest_increasing([no[i] for i in by[x]])) for x in by}
@@ -97,17 +93,17 @@ def chosen(anchors: DataFrame) -> DataFrame:
     anchors: doc_id, pos, no, delimiter (of plain ones) and series (of book ones). ")" dominates only with a longer increasing chain.
     """
 
-    def pick(no: pd.Series, delimiter: pd.Series, series: pd.Series) -> pd.Series:
-        return pd.Series([_choice(n.tolist(), list(d), list(s)) for n, d, s in zip(no, delimiter, series, strict=True)])
+    def pick(pos, no, delimiter, series) -> list[tuple]:
+        return [(pos[i], no[i]) for i in _choice(_numbers(no), delimiter, series)]
 
-    return _picked(_by_document(anchors, "delimiter", "series"), pandas_udf(pick, "array<int>")("no", "delimiter", "series"), anchors.schema)
+    return grouped(anchors, ["doc_id"], ("pos", "no", "delimiter", "series"), pick, _kept(anchors))
 
 
 def chain_lengths(anchors: DataFrame) -> DataFrame:
     """Lengths of the two chains of each document."""
 
-    def lengths(no: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"increasing": [len(longest_increasing(n.tolist())) for n in no], "resets": [len(_reset(n.tolist())) for n in no]})
+    def lengths(pos, no) -> list[tuple[int, int, int]]:
+        n = _numbers(no)
+        return [(len(n), len(longest_increasing(n)), len(_reset(n)))]
 
-    rows = _by_document(anchors).select("doc_id", F.size("no").cast("long").alias("anchors"), pandas_udf(lengths, "increasing long, resets long")("no").alias("l"))
-    return rows.select("doc_id", "anchors", "l.increasing", "l.resets")
+    return grouped(anchors, ["doc_id"], ("pos", "no"), lengths, "anchors long, increasing long, resets long")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlake.functions.text import half_up
+from examlake.operators.grouped import grouped
 
 # Fixed values, in points or shares of the page.
 RULE_WIDTH, RULE_HEIGHT, RULE_INSET, BODY_SHARE = 0.7, 2.0, 2.0, 0.5
@@ -163,13 +163,6 @@ def graphics_reasons(boxes: DataFrame, images: DataFrame, drawings: DataFrame, l
     return j.withColumn("graphics_reason", F.when(F.col("_i") > 0, "image").when(F.col("_d") > most, "drawings")).drop("_i", "_d")
 
 
-def _by_page(rows: DataFrame, by: list[str], columns: tuple[str, ...], order: tuple[Column, ...]) -> DataFrame:
-    """One row for each group with its rows' columns as arrays, in order. Groups are pages or columns of pages: they stay small."""
-    keys = [f"_k{i}" for i in range(len(order))]
-    g = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*(o.alias(k) for o, k in zip(order, keys, strict=True)), *columns))).alias("g"))
-    return g.select(*by, *(F.col(f"g.{c}").alias(c) for c in columns))
-
-
 def row_spans(x0, y0, x1, y1) -> list[list[tuple[float, float]]]:
     """Rows of boxes given in order of (y0, x0, x1), each as its spans; boxes of a row that nearly touch are one span. A row's first box decides who belongs to it."""
     rows: list[list[tuple[float, float]]] = []
@@ -195,17 +188,11 @@ def row_spans(x0, y0, x1, y1) -> list[list[tuple[float, float]]]:
 def full_rows(words: DataFrame) -> DataFrame:
     """By page: rows of words, and those that begin at the left edge and pass the split. Words: PAGE, x0, y0, x1, y1, w (page width)."""
 
-    @F.pandas_udf("full int, total int")
-    def rows(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, w: pd.Series) -> pd.DataFrame:
-        out = []
-        for *boxes, width in zip(x0, y0, x1, y1, w, strict=True):
-            found = row_spans(*boxes)
-            full = sum(any(a <= FULL_FROM * width[0] and b > (0.5 + FULL_OVER) * width[0] for a, b in spans) for spans in found)
-            out.append((full, len(found)))
-        return pd.DataFrame(out, columns=["full", "total"])
+    def rows(x0, y0, x1, y1, w) -> list[tuple[int, int]]:
+        found = row_spans(x0, y0, x1, y1)
+        return [(sum(any(a <= FULL_FROM * w[0] and b > (0.5 + FULL_OVER) * w[0] for a, b in spans) for spans in found), len(found))]
 
-    pages = _by_page(words, PAGE, ("x0", "y0", "x1", "y1", "w"), (F.col("y0"), F.col("x0"), F.col("x1")))
-    return pages.select(*PAGE, rows("x0", "y0", "x1", "y1", "w").alias("r")).select(*PAGE, "r.full", "r.total")
+    return grouped(words, PAGE, ("x0", "y0", "x1", "y1", "w"), rows, "full int, total int", (F.col("y0"), F.col("x0"), F.col("x1")))
 
 
 def merged_glyphs(text, x0, y0, x1) -> list[tuple[int, float, float, float]]:
@@ -223,13 +210,7 @@ def merged_glyphs(text, x0, y0, x1) -> list[tuple[int, float, float, float]]:
 
 def merged_numbers(glyphs: DataFrame) -> DataFrame:
     """Large glyphs (PAGE, text, x0, y0, x1) that stand side by side, read as one number of one to three digits."""
-
-    @F.pandas_udf("array<struct<no:int,x0:double,y0:double,x1:double>>")
-    def merge(text: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("no", "x0", "y0", "x1"), n, strict=True)) for n in merged_glyphs(*row)] for row in zip(text, x0, y0, x1, strict=True)])
-
-    pages = _by_page(glyphs, PAGE, ("text", "x0", "y0", "x1"), (half_up(F.col("y0"), 1), F.col("x0")))
-    return pages.select(*PAGE, F.explode(merge("text", "x0", "y0", "x1")).alias("n")).select(*PAGE, "n.no", "n.x0", "n.y0", "n.x1")
+    return grouped(glyphs, PAGE, ("text", "x0", "y0", "x1"), merged_glyphs, "no int, x0 double, y0 double, x1 double", (half_up(F.col("y0"), 1), F.col("x0")))
 
 
 def workbook_anchors(spans: DataFrame, bodies: DataFrame, single: bool = False) -> DataFrame:
@@ -254,12 +235,10 @@ def label_blocks(lines: DataFrame, first: str = "08 ", most_gap: float = 40.0) -
     """Four label lines in a column, the first of the subject, close to each other, read as one type id. Found ones do not overlap."""
     label = lines.filter(F.col("text").rlike(r"^\d\d [가-힣]"))
 
-    @F.pandas_udf("array<struct<type_id:string,y0:double,y1:double>>")
-    def blocks(text: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("type_id", "y0", "y1"), b, strict=True)) for b in found_blocks(*row, first, most_gap)] for row in zip(text, y0, y1, strict=True)])
+    def blocks(text, y0, y1) -> list[tuple[str, float, float]]:
+        return found_blocks(text, y0, y1, first, most_gap)
 
-    columns = _by_page(label, COLUMN, ("text", "y0", "y1"), (F.col("y0"), F.col("x0")))
-    return columns.select(*COLUMN, F.explode(blocks("text", "y0", "y1")).alias("b")).select(*COLUMN, "b.type_id", "b.y0", "b.y1")
+    return grouped(label, COLUMN, ("text", "y0", "y1"), blocks, "type_id string, y0 double, y1 double", (F.col("y0"), F.col("x0")))
 
 
 def found_blocks(text, y0, y1, first: str, most_gap: float) -> list[tuple[str, float, float]]:

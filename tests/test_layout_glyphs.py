@@ -185,3 +185,17 @@ def test_boxes_in_cells_are_not_sent_whole(spark):
     assert sorted((r.doc_id, r.page, r.id) for r in touching.collect()) == sorted((x.doc_id, x.page, y.id) for x, y in pairs if y.cx - 20 < x.x1 and y.cx > x.x0 and y.cy - 30 < x.y1 and y.cy > x.y0)
     for found in (held, touching):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_come_as_rows(spark):
+    """Groups were gathered as arrays, up to 10,000 groups in one Arrow batch; now batches hold rows, over which groups may run."""
+    rows = spark.range(25_000).selectExpr("id % 3 as doc_id", "id as pos", "cast(id * 7919 % 10007 as int) as no")
+    for df in (chain.chains(rows), chain.chain_lengths(rows), chain.chosen(rows.selectExpr("*", "'.' as delimiter", "cast(null as string) as series"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "MapInArrow" in plan
+    own = {d: [i * 7919 % 10007 for i in range(d, 25_000, 3)] for d in range(3)}
+    got = {r["doc_id"]: (r["anchors"], r["increasing"], r["resets"]) for r in chain.chain_lengths(rows).collect()}
+    assert got == {d: (len(n), len(chain.longest_increasing(n)), len(chain._reset(n))) for d, n in own.items()}
+    lines = rows.selectExpr("doc_id", "1 as page", "0 as col", "if(pos % 12 < 3, '08 가나', '11 가나') as text", "0D as x0", "cast(pos as double) as y0", "cast(pos + 1 as double) as y1")
+    found = layout.label_blocks(lines)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString() and {r["type_id"] for r in found.collect()} == {"08.11.11.11"}
