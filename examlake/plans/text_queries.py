@@ -214,8 +214,7 @@ def p20_p21_document_plain_texts(spark, d):
 
 @query()
 def p22_document_segments(spark, d):
-    s = _maths(spark, d).select("doc_id", F.posexplode(M.plain_segments(F.col("t"))).alias("pos", "s"))
-    return s.select("doc_id", "pos", F.col("s.text").alias("x"), "s.latex")
+    return M.segment_rows(_maths(spark, d), "doc_id", "t").withColumnRenamed("text", "x")
 
 
 @query()

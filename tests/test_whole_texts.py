@@ -139,3 +139,13 @@ def test_blocks_of_whole_documents(spark, data):
                     if title not in ("문제 확인", "검산"):
                         last += [("heading", 3, title), ("text", None, body)]
         assert got[node] == want + ([("page_break", None, None), ("heading", 1, "정답 및 해설"), *last] if last else [])
+
+
+def test_segments_as_rows(spark, monkeypatch):
+    """Segments of up to 10,000 texts were in memory at once; now they leave as rows, in pieces."""
+    monkeypatch.setattr(M, "ROWS", 3)
+    rows = [(1, r"a $x^2$ b \(\frac{1}{2}\) c"), (2, None), (3, ""), (4, "plain"), (5, "$$y$$ " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, t string")
+    got = M.segment_rows(df, "doc_id", "t")
+    want = [(k, i, *s) for k, t in rows if t for i, s in enumerate(M.segments(t))]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == want and "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
