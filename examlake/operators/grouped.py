@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,16 +23,26 @@ def grouped(rows: DataFrame, by: list[str], columns: tuple[str, ...], found: Cal
     schema = StructType([*(rows.schema[k] for k in by), *StructType.fromDDL(fields)])
     arrow, n = to_arrow_schema(schema), len(by)
 
-    def values(column: pa.Array) -> list:
-        return (column.fill_null(float("nan")) if column.null_count and pa.types.is_floating(column.type) else column).to_pylist()
+    def values(column: pa.Array, fraction_nulls: bool) -> list:
+        kind = column.type
+        if not (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind) or pa.types.is_string(kind)):
+            return column.to_pylist()
+        # by NumPy, as to_pylist makes a scalar of each value first
+        if not column.null_count or pa.types.is_string(kind):
+            return column.to_numpy(zero_copy_only=False).tolist()
+        out = column.fill_null(False if pa.types.is_boolean(kind) else 0).to_numpy(zero_copy_only=False).tolist()
+        none = None if fraction_nulls or not pa.types.is_floating(kind) else float("nan")
+        for i in column.is_null().to_numpy(zero_copy_only=False).nonzero()[0]:
+            out[i] = none
+        return out
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     def scan(batches):
-        stream = (row for b in batches for row in zip(*(values(c) if i >= n else c.to_pylist() for i, c in enumerate(b.columns)), strict=True))
+        stream = (row for b in batches for row in zip(*(values(c, i < n) for i, c in enumerate(b.columns)), strict=True))
         out: list[tuple] = []
-        for key, own in groupby(stream, lambda row: row[:n]):
+        for key, own in groupby(stream, itemgetter(slice(n))):
             out += (key + row for row in found(*list(zip(*own, strict=True))[n:]))
             if len(out) >= BATCH:
                 yield batch(out)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from examlake.operators import chain, glyphs, layout
@@ -199,18 +197,19 @@ CASE WHEN doc_id % 50 NOT IN (11, 12) AND NOT (uncertain OR unknown OR unpaired
 def g4_g5_g6_g7_latex(spark, d):
     """Whole regions of known glyphs: most of them decode."""
     a = I.anchors(spark, d).selectExpr("doc_id", "pos", "(doc_id + no * 7 + pos) % 60 as k", "pos % 3 = 2 and no % 2 = 0 as small")
-    row = a.selectExpr("doc_id", "k", "cast(if(small, 6, 10) as double) as size", "cast(if(small, if(doc_id % 2 = 0, 95, 104), 100) as double) as baseline", "cast(10 * pos as double) as x0", "5D as width")
-    docs = a.select("doc_id").distinct()
-    part = lambda k, base, x0, width: docs.selectExpr("doc_id", f"{k}L as k", "10D as size", f"{base}D as baseline", f"{x0}D as x0", f"{width}D as width")
-    third = [p.filter("doc_id % 3 = 0") for p in (part(61, 92, 202, 5), part(glyphs.BAR, 100, 200, 9), part(62, 104, 202, 5))]
-    g = functools.reduce(lambda x, y: x.unionByName(y), [row, *third, part(glyphs.BAR, 100, 300, 9).filter("doc_id % 10 = 7")]).filter("doc_id % 50 <> 11")
+    # What stands behind a row comes with its first glyph, so that the line items are put in order once.
+    glyph = lambda k, size, base, x0, width: f"struct(cast({k} as bigint) as k, cast({size} as double) as size, cast({base} as double) as baseline, cast({x0} as double) as x0, cast({width} as double) as width)"
+    own = glyph("k", "if(small, 6, 10)", "if(small, if(doc_id % 2 = 0, 95, 104), 100)", "10 * pos", 5)
+    third = ", ".join((glyph(61, 10, 92, 202, 5), glyph(glyphs.BAR, 10, 100, 200, 9), glyph(62, 10, 104, 202, 5)))
+    left = glyph(glyphs.BAR, 10, 100, 300, 9)
+    behind = f"concat(array({own}), if(doc_id % 3 = 0, array({third}), array()), if(doc_id % 10 = 7, array({left}), array()))"
+    g = a.filter("doc_id % 50 <> 11").selectExpr("doc_id", f"inline(if(pos = 1, {behind}, array({own})))")
     ch = F.when(F.col("doc_id") % 50 == 12, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(F.col("k") + 0xE000), 4, "0")), "UTF-16BE"))
     g = g.select("doc_id", F.lit(1).alias("no"), ch.alias("char"), "size", "baseline", "x0", (F.col("x0") + F.col("width")).alias("x1")).withColumn("offset", glyphs.offset(F.col("char")))
     known = I.table(spark, d, "part").selectExpr("cast(p_partkey % 65 as int) as offset").distinct().filter("offset <> 29").selectExpr("offset", "case offset when 40 then '(' when 41 then ')' else decode(unhex(hex(97 + offset % 26)), 'UTF-8') end as latex", "offset <> 13 as certain")
     m = glyphs.mapped(g, known)
-    boxes = docs.selectExpr("doc_id", "1 as no", "if(doc_id % 9 = 0, 'image', null) as graphics_reason")
-    out = glyphs.decoded(m.join(glyphs.body_sizes(m), glyphs.REGION, "left"), boxes)
-    return glyphs.routed(out.withColumn("has_crop", F.col("doc_id") % 4 != 0)).select("doc_id", "no", "latex", F.array_join("reasons", " / ").alias("reasons"), "route")
+    boxes = I.table(spark, d, "lineitem").selectExpr("l_orderkey as doc_id").distinct().selectExpr("doc_id", "1 as no", "if(doc_id % 9 = 0, 'image', null) as graphics_reason")
+    return glyphs.routed(glyphs.decoded(m, boxes).withColumn("has_crop", F.col("doc_id") % 4 != 0)).select("doc_id", "no", "latex", F.array_join("reasons", " / ").alias("reasons"), "route")
 
 
 @query("SELECT doc_id % 50 AS run_id, count(*) FILTER (doc_id % 3 = 0) AS decoded, count(*) FILTER (doc_id % 3 = 1) AS ai, count(*) FILTER (doc_id % 3 = 1 AND doc_id % 5 = 0) AS unavailable FROM documents GROUP BY ALL")

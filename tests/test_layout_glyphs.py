@@ -199,3 +199,37 @@ def test_groups_come_as_rows(spark):
     lines = rows.selectExpr("doc_id", "1 as page", "0 as col", "if(pos % 12 < 3, '08 가나', '11 가나') as text", "0D as x0", "cast(pos as double) as y0", "cast(pos + 1 as double) as y1")
     found = layout.label_blocks(lines)
     assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString() and {r["type_id"] for r in found.collect()} == {"08.11.11.11"}
+
+
+def test_glyphs_are_put_in_order_once_and_read_as_rows(spark):
+    """Line items were put in order up to eleven times for the rows, what stands behind them and the body sizes, and glyphs came to Python as arrays."""
+    from examlake.plans import catalog
+
+    plan = catalog.queries()["g4_g5_g6_g7_latex"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_regions_without_a_body_size_take_their_own(spark):
+    rng = random.Random(3)
+    rows = [(d, 1, rng.choice([" ", "a", None, "\ue001", "\ue044", "\ue045", "\ue06d"]), rng.choice([8.96, 9.0, 10.0, 6.0]), float(rng.randrange(60)), float(rng.randrange(90, 110))) for d in range(60) for _ in range(1 + d % 9)]
+    g = spark.createDataFrame(rows, "doc_id long, no int, char string, size double, x0 double, baseline double").withColumn("x1", F.col("x0") + 5).withColumn("offset", glyphs.offset(F.col("char")))
+    m = glyphs.mapped(g, spark.createDataFrame([(1, "x", True), (OPEN, "(", True), (CLOSE, ")", False)], "offset int, latex string, certain boolean")).withColumn("latex", F.coalesce("latex", F.lit("")))
+    boxes = m.select("doc_id", "no").distinct().withColumn("graphics_reason", F.lit(None).cast("string"))
+    key = lambda df: sorted(map(str, df.collect()))
+    got = glyphs.decoded(m, boxes)
+    assert key(got) == key(glyphs.decoded(m.join(glyphs.body_sizes(m), glyphs.REGION, "left"), boxes)) and got.count() == 60
+
+
+def test_offsets_of_characters(spark):
+    chars = ["", None, "a", "\ue000", "\uf8ff", "\uf900", "\ud7ff", "\ue001\ue002", "\U000f0001", "가"]
+    got = spark.createDataFrame([(c,) for c in chars], "c string").select(glyphs.offset(F.col("c")).alias("k")).collect()
+    assert [r["k"] for r in got] == [None, None, None, 0, 0xF8FF - 0xE000, None, None, None, None, None]
+
+
+def test_nulls_of_grouped_rows(spark):
+    from examlake.operators.grouped import grouped
+
+    rows = [(1.0, None, True, "a", None, 0.5), (1.0, 2, None, None, [1], None), (None, 3, False, "", [], 1.5)]
+    df = spark.createDataFrame(rows, "k double, i long, b boolean, s string, l array<int>, f double")  # a null key stays, a null fraction is NaN
+    got = grouped(df, ["k"], ("i", "b", "s", "l", "f"), lambda *c: [(repr(c),)], "r string").collect()
+    assert {r["k"]: r["r"] for r in got} == {None: repr(((3,), (False,), ("",), ([],), (1.5,))), 1.0: repr(((None, 2), (True, None), ("a", None), (None, [1]), (0.5, float("nan"))))}
