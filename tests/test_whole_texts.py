@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from examlake.functions import markdown as M
 from examlake.plans import catalog
@@ -149,3 +150,25 @@ def test_segments_as_rows(spark, monkeypatch):
     got = M.segment_rows(df, "doc_id", "t")
     want = [(k, i, *s) for k, t in rows if t for i, s in enumerate(M.segments(t))]
     assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == want and "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ordinary_characters_of_maths_are_read_in_runs(monkeypatch):
+    """Each character of a formula was a token of its own, all of them kept at once."""
+    calls, one = [], M._Reader.one
+    monkeypatch.setattr(M._Reader, "one", lambda self: calls.append(1) or one(self))
+    assert M.render(r"\frac ab" + " long  words, [and] more." * 20_000 + r" x^ 23 \text  {q {r}} \text") == r"(a)/(b)" + " long words, [and] more." * 20_000 + r" x²3 q {r} \text"
+    assert len(calls) < 20
+
+
+def test_texts_without_marks_stay_out_of_python(spark, monkeypatch):
+    """The parser was given all rows, though its result was taken only for those with marks."""
+    sent, inner = spark.sparkContext.accumulator(0), M.segments
+
+    def counted(source):
+        sent.add(1)
+        return inner(source)
+
+    monkeypatch.setattr(M, "segments", counted)
+    rows = [(1, "plain words"), (2, None), (3, ""), (4, "a $x^2$"), (5, " b"), (6, "c\td. e")]
+    got = spark.createDataFrame(rows, "k int, t string").select("k", M.plain(F.col("t")).alias("p")).collect()
+    assert {r["k"]: r["p"] for r in got} == {1: "plain words", 2: None, 3: "", 4: "a x²", 5: "b", 6: "c\td. e"} and sent.value == 2
