@@ -202,7 +202,7 @@ def test_groups_come_as_rows(spark):
 
 
 def test_glyphs_are_put_in_order_once_and_read_as_rows(spark):
-    """Line items were put in order up to eleven times for the rows, what stands behind them and the body sizes, and glyphs came to Python as arrays."""
+    """Line items were put in order twice, for the glyphs and for their body sizes, and glyphs came to Python as arrays."""
     from examlake.plans import catalog
 
     plan = catalog.queries()["g4_g5_g6_g7_latex"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
